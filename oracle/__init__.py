@@ -1,0 +1,3 @@
+from oracle.statements import statement, statements
+
+__all__ = ["statement", "statements"]
