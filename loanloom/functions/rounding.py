@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def round_half_away(value: Column, places: int) -> Column:
     """``value`` to ``places`` decimals, ties away from zero."""
-    scale = F.lit(10.0 ** places)
+    scale = 10.0 ** places
     return F.round(value * scale, 0) / scale
 
 
@@ -24,8 +24,8 @@ def round_half_away_rows(value: Column, places: int) -> Column:
     left to round and is returned as it is.
     """
     scale = 10.0 ** places
-    rounded = F.signum(value) * F.floor(F.abs(value) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
-    return F.when(F.abs(value) < F.lit(2.0 ** 52 / scale), rounded).otherwise(value)
+    rounded = F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale
+    return F.when(F.abs(value) < 2.0 ** 52 / scale, rounded).otherwise(value)
 
 
 def rounded_mean(value: Column, value_places: int, places: int | None = None, percent: bool = False) -> Column:
@@ -35,11 +35,11 @@ def rounded_mean(value: Column, value_places: int, places: int | None = None, pe
     so the mean does not depend on the order of the rows, and a tie is seen as a tie.
     """
     places = value_places if places is None else places
-    mean = F.avg(F.rint(value * F.lit(10.0 ** value_places)))
+    mean = F.avg(F.rint(value * 10.0 ** value_places))
     dropped = value_places - places - (2 if percent else 0)
     if dropped:
-        mean = mean / F.lit(10.0 ** dropped)
-    return round_half_away(mean, 0) / F.lit(10.0 ** places)
+        mean = mean / 10.0 ** dropped
+    return F.round(mean, 0) / 10.0 ** places
 
 
 def money_sum(amount: Column) -> Column:

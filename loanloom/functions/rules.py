@@ -33,16 +33,16 @@ def unknown_if_null(value: Column) -> Column:
 
 def clamp_at_zero(value: Column) -> Column:
     # greatest() would skip the NULL and return 0 for it.
-    return F.when(value < 0, F.lit(0)).otherwise(value)
+    return F.when(value < 0, 0).otherwise(value)
 
 
 def flag(condition: Column) -> Column:
     """1 where the condition holds, 0 where it does not or is NULL."""
-    return F.when(condition, F.lit(1)).otherwise(F.lit(0))
+    return F.when(condition, 1).otherwise(0)
 
 
 def years_from_days(days: Column) -> Column:
-    return F.abs(days) / F.lit(DAYS_PER_YEAR)
+    return F.abs(days) / DAYS_PER_YEAR
 
 
 def years_employed(days: Column) -> Column:

@@ -13,7 +13,7 @@ def row_count() -> Column:
 
 
 def count_where(condition: Column) -> Column:
-    return F.sum(F.when(condition, F.lit(1)).otherwise(F.lit(0)))
+    return F.sum(F.when(condition, 1).otherwise(0))
 
 
 def max_or_zero(value: Column) -> Column:
@@ -23,12 +23,12 @@ def max_or_zero(value: Column) -> Column:
 
 def percentage(part: Column, whole: Column, places: int = 2) -> Column:
     """``part`` in percent of ``whole``; NULL where ``whole`` is 0 or NULL."""
-    return round_half_away(part * F.lit(100.0) / F.nullif(whole, F.lit(0)), places)
+    return round_half_away(part * 100.0 / F.nullif(whole, F.lit(0)), places)
 
 
 def mean_percentage(flag: Column, places: int = 2) -> Column:
     """Share of rows with a 0/1 flag set, in percent."""
-    return round_half_away(F.avg(flag) * F.lit(100.0), places)
+    return round_half_away(F.avg(flag) * 100.0, places)
 
 
 def share_of_total(groups: DataFrame, count: str, share: str, places: int = 2) -> DataFrame:

@@ -1,12 +1,14 @@
 """Raw tables to cleaned tables.
 
-Every cleaned table is one ``select`` over the raw rows, so a derived column always reads the raw value even where a
-cleaned column has the same name.
+The rules of a table are applied together (one ``withColumns`` or ``select``), so a derived column always reads the raw
+value even where a cleaned column has the same name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.functions.rounding import round_half_away_rows
@@ -16,114 +18,99 @@ from loanloom.operators.dedup import first_per_key, latest_per_key
 from loanloom.sources.schemas import APPLICATION, BUREAU, CARD, INSTALLMENTS, POS, PREVIOUS
 
 
-def _project(rows: DataFrame, columns: str, **rules) -> DataFrame:
-    """Select ``columns`` in order; those named in ``rules`` through their rule, the others as they are."""
-    return rows.select(*[rules[name](F.col(name)).alias(name) if name in rules else F.col(name)
-                         for name in columns.split()])
+def _with(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows that have all ``columns``. Plain IS NOT NULL tests, which reach the file reader."""
+    return rows.filter(" AND ".join(f"{column} IS NOT NULL" for column in columns))
+
+
+def _each(rule: Callable[[Column], Column], columns: str) -> dict[str, Column]:
+    """The rule applied to each of the columns, under the same name."""
+    return {column: rule(F.col(column)) for column in columns.split()}
 
 
 def dedup_application(raw: DataFrame) -> DataFrame:
     """One row per customer. Which of several rows is kept does not matter to the result's meaning."""
-    return first_per_key(raw.dropna(subset=["SK_ID_CURR"]), "SK_ID_CURR")
+    return first_per_key(_with(raw, "SK_ID_CURR"), "SK_ID_CURR")
 
 
 def dedup_bureau(raw: DataFrame) -> DataFrame:
     """The most recently updated row per bureau credit."""
-    return latest_per_key(raw.dropna(subset=["SK_ID_CURR", "SK_ID_BUREAU"]), "SK_ID_BUREAU", "DAYS_CREDIT_UPDATE")
+    return latest_per_key(_with(raw, "SK_ID_CURR", "SK_ID_BUREAU"), "SK_ID_BUREAU", "DAYS_CREDIT_UPDATE")
 
 
 def dedup_previous(raw: DataFrame) -> DataFrame:
     """The most recently decided row per previous loan."""
-    return latest_per_key(raw.dropna(subset=["SK_ID_CURR", "SK_ID_PREV"]), "SK_ID_PREV", "DAYS_DECISION")
+    return latest_per_key(_with(raw, "SK_ID_CURR", "SK_ID_PREV"), "SK_ID_PREV", "DAYS_DECISION")
 
 
 def clean_application(raw: DataFrame) -> DataFrame:
-    return dedup_application(raw).select(
-        "SK_ID_CURR", "TARGET", "NAME_CONTRACT_TYPE",
-        clean_text(F.col("CODE_GENDER")).alias("CODE_GENDER"),
-        "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "CNT_CHILDREN",
-        null_unless_positive(F.col("AMT_INCOME_TOTAL")).alias("AMT_INCOME_TOTAL"),
-        null_unless_positive(F.col("AMT_CREDIT")).alias("AMT_CREDIT"),
-        "AMT_ANNUITY", "AMT_GOODS_PRICE", "NAME_TYPE_SUITE", "NAME_INCOME_TYPE", "NAME_EDUCATION_TYPE",
-        "NAME_FAMILY_STATUS", "NAME_HOUSING_TYPE",
-        years_from_days(F.col("DAYS_BIRTH")).alias("AGE_YEARS"),
-        years_employed(F.col("DAYS_EMPLOYED")).alias("YEARS_EMPLOYED"),
-        unknown_if_null(F.col("OCCUPATION_TYPE")).alias("OCCUPATION_TYPE"),
-        "CNT_FAM_MEMBERS", "REGION_RATING_CLIENT",
-        unknown_if_null(F.col("ORGANIZATION_TYPE")).alias("ORGANIZATION_TYPE"),
-    )
+    return dedup_application(raw).withColumns({
+        **_each(clean_text, "CODE_GENDER"),
+        **_each(null_unless_positive, "AMT_INCOME_TOTAL AMT_CREDIT"),
+        **_each(unknown_if_null, "OCCUPATION_TYPE ORGANIZATION_TYPE"),
+        "AGE_YEARS": years_from_days(F.col("DAYS_BIRTH")),
+        "YEARS_EMPLOYED": years_employed(F.col("DAYS_EMPLOYED")),
+    }).selectExpr(
+        "SK_ID_CURR", "TARGET", "NAME_CONTRACT_TYPE", "CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY",
+        "CNT_CHILDREN", "AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "NAME_TYPE_SUITE",
+        "NAME_INCOME_TYPE", "NAME_EDUCATION_TYPE", "NAME_FAMILY_STATUS", "NAME_HOUSING_TYPE", "AGE_YEARS",
+        "YEARS_EMPLOYED", "OCCUPATION_TYPE", "CNT_FAM_MEMBERS", "REGION_RATING_CLIENT", "ORGANIZATION_TYPE")
 
 
 def clean_bureau(raw: DataFrame) -> DataFrame:
-    return _project(
-        dedup_bureau(raw),
-        "SK_ID_BUREAU SK_ID_CURR CREDIT_ACTIVE CREDIT_CURRENCY DAYS_CREDIT CREDIT_DAY_OVERDUE DAYS_CREDIT_ENDDATE "
-        "DAYS_ENDDATE_FACT AMT_CREDIT_MAX_OVERDUE CNT_CREDIT_PROLONG AMT_CREDIT_SUM AMT_CREDIT_SUM_DEBT "
-        "AMT_CREDIT_SUM_LIMIT AMT_CREDIT_SUM_OVERDUE CREDIT_TYPE DAYS_CREDIT_UPDATE AMT_ANNUITY",
-        CREDIT_ACTIVE=clean_text, CREDIT_CURRENCY=clean_text, CREDIT_TYPE=clean_text,
-        AMT_CREDIT_MAX_OVERDUE=null_if_negative, AMT_CREDIT_SUM=null_if_negative,
-        AMT_CREDIT_SUM_DEBT=null_if_negative, AMT_CREDIT_SUM_LIMIT=null_if_negative,
-        AMT_CREDIT_SUM_OVERDUE=zero_if_null, AMT_ANNUITY=zero_if_null,
-    )
+    return dedup_bureau(raw).withColumns({
+        **_each(clean_text, "CREDIT_ACTIVE CREDIT_CURRENCY CREDIT_TYPE"),
+        **_each(null_if_negative,
+                "AMT_CREDIT_MAX_OVERDUE AMT_CREDIT_SUM AMT_CREDIT_SUM_DEBT AMT_CREDIT_SUM_LIMIT"),
+        **_each(zero_if_null, "AMT_CREDIT_SUM_OVERDUE AMT_ANNUITY"),
+    })
 
 
 def clean_previous(raw: DataFrame) -> DataFrame:
-    return _project(
-        dedup_previous(raw),
-        "SK_ID_PREV SK_ID_CURR NAME_CONTRACT_TYPE AMT_ANNUITY AMT_APPLICATION AMT_CREDIT AMT_DOWN_PAYMENT "
-        "AMT_GOODS_PRICE NAME_CONTRACT_STATUS DAYS_DECISION NAME_PAYMENT_TYPE CODE_REJECT_REASON NAME_CLIENT_TYPE "
-        "NAME_PRODUCT_TYPE DAYS_FIRST_DUE DAYS_LAST_DUE CNT_PAYMENT",
-        NAME_CONTRACT_TYPE=clean_text, NAME_CONTRACT_STATUS=clean_text,
-        AMT_ANNUITY=null_if_negative, AMT_CREDIT=null_if_negative, AMT_DOWN_PAYMENT=null_if_negative,
-        CNT_PAYMENT=null_if_negative,
-        AMT_APPLICATION=null_unless_positive, AMT_GOODS_PRICE=null_unless_positive,
-        NAME_PAYMENT_TYPE=unknown_if_null, CODE_REJECT_REASON=unknown_if_null,
-        NAME_CLIENT_TYPE=unknown_if_null, NAME_PRODUCT_TYPE=unknown_if_null,
-    )
+    return dedup_previous(raw).withColumns({
+        **_each(clean_text, "NAME_CONTRACT_TYPE NAME_CONTRACT_STATUS"),
+        **_each(null_if_negative, "AMT_ANNUITY AMT_CREDIT AMT_DOWN_PAYMENT CNT_PAYMENT"),
+        **_each(null_unless_positive, "AMT_APPLICATION AMT_GOODS_PRICE"),
+        **_each(unknown_if_null, "NAME_PAYMENT_TYPE CODE_REJECT_REASON NAME_CLIENT_TYPE NAME_PRODUCT_TYPE"),
+    })
 
 
 def clean_installments(raw: DataFrame) -> DataFrame:
     """Rows without a scheduled amount are dropped by the raw amount: a negative one stays, as NULL. An instalment
     never paid has no entry day and counts as not late."""
     due, paid = F.col("DAYS_INSTALMENT"), F.col("DAYS_ENTRY_PAYMENT")
-    return raw.dropna(subset=["SK_ID_CURR", "SK_ID_PREV", "AMT_INSTALMENT"]).select(
-        "SK_ID_PREV", "SK_ID_CURR", "NUM_INSTALMENT_VERSION", "NUM_INSTALMENT_NUMBER", "DAYS_INSTALMENT",
-        "DAYS_ENTRY_PAYMENT",
-        null_if_negative(F.col("AMT_INSTALMENT")).alias("AMT_INSTALMENT"),
-        null_if_negative(F.col("AMT_PAYMENT")).alias("AMT_PAYMENT"),
-        (paid - due).alias("DAYS_LATE"),
-        flag(paid > due).alias("IS_LATE_PAYMENT"),
-    )
+    return _with(raw, "SK_ID_CURR", "SK_ID_PREV", "AMT_INSTALMENT").withColumns({
+        **_each(null_if_negative, "AMT_INSTALMENT AMT_PAYMENT"),
+        "DAYS_LATE": paid - due,
+        "IS_LATE_PAYMENT": flag(paid > due),
+    })
 
 
 def clean_pos(raw: DataFrame) -> DataFrame:
-    return raw.dropna(subset=["SK_ID_CURR", "SK_ID_PREV"]).select(
-        "SK_ID_PREV", "SK_ID_CURR", "MONTHS_BALANCE",
-        null_if_negative(F.col("CNT_INSTALMENT")).alias("CNT_INSTALMENT"),
-        null_if_negative(F.col("CNT_INSTALMENT_FUTURE")).alias("CNT_INSTALMENT_FUTURE"),
-        clean_text(F.col("NAME_CONTRACT_STATUS")).alias("NAME_CONTRACT_STATUS"),
-        clamp_at_zero(F.col("SK_DPD")).alias("SK_DPD"),
-        clamp_at_zero(F.col("SK_DPD_DEF")).alias("SK_DPD_DEF"),
-        flag(F.col("SK_DPD") > 0).alias("IS_DELINQUENT"),
-    )
+    return _with(raw, "SK_ID_CURR", "SK_ID_PREV").withColumns({
+        **_each(null_if_negative, "CNT_INSTALMENT CNT_INSTALMENT_FUTURE"),
+        **_each(clean_text, "NAME_CONTRACT_STATUS"),
+        **_each(clamp_at_zero, "SK_DPD SK_DPD_DEF"),
+        "IS_DELINQUENT": flag(F.col("SK_DPD") > 0),
+    })
 
 
 def clean_card(raw: DataFrame) -> DataFrame:
     """Utilisation divides the raw balance by the raw limit and may be negative."""
     limit, minimum = F.col("AMT_CREDIT_LIMIT_ACTUAL"), F.col("AMT_INST_MIN_REGULAR")
-    return raw.dropna(subset=["SK_ID_CURR", "SK_ID_PREV"]).select(
-        "SK_ID_PREV", "SK_ID_CURR", "MONTHS_BALANCE",
-        null_if_negative(F.col("AMT_BALANCE")).alias("AMT_BALANCE"),
-        null_unless_positive(limit).alias("AMT_CREDIT_LIMIT_ACTUAL"),
-        null_if_negative(F.col("AMT_DRAWINGS_CURRENT")).alias("AMT_DRAWINGS_CURRENT"),
-        null_if_negative(F.col("AMT_PAYMENT_TOTAL_CURRENT")).alias("AMT_PAYMENT_TOTAL_CURRENT"),
-        null_if_negative(minimum).alias("AMT_INST_MIN_REGULAR"),
-        zero_if_null(F.col("CNT_DRAWINGS_CURRENT")).alias("CNT_DRAWINGS_CURRENT"),
-        clamp_at_zero(F.col("SK_DPD")).alias("SK_DPD"),
-        clamp_at_zero(F.col("SK_DPD_DEF")).alias("SK_DPD_DEF"),
-        F.when(limit > 0, round_half_away_rows(F.col("AMT_BALANCE") / limit, 4)).alias("MONTHLY_CREDIT_UTILIZATION"),
-        flag((F.col("AMT_PAYMENT_TOTAL_CURRENT") < minimum) & (minimum > 0)).alias("IS_BELOW_MIN_PAYMENT"),
-    )
+    months = _with(raw, "SK_ID_CURR", "SK_ID_PREV").selectExpr(
+        "SK_ID_PREV", "SK_ID_CURR", "MONTHS_BALANCE", "AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL",
+        "AMT_DRAWINGS_CURRENT", "AMT_PAYMENT_TOTAL_CURRENT", "AMT_INST_MIN_REGULAR", "CNT_DRAWINGS_CURRENT",
+        "SK_DPD", "SK_DPD_DEF")
+    return months.withColumns({
+        **_each(null_if_negative,
+                "AMT_BALANCE AMT_DRAWINGS_CURRENT AMT_PAYMENT_TOTAL_CURRENT AMT_INST_MIN_REGULAR"),
+        **_each(null_unless_positive, "AMT_CREDIT_LIMIT_ACTUAL"),
+        **_each(zero_if_null, "CNT_DRAWINGS_CURRENT"),
+        **_each(clamp_at_zero, "SK_DPD SK_DPD_DEF"),
+        "MONTHLY_CREDIT_UTILIZATION": F.when(limit > 0, round_half_away_rows(F.col("AMT_BALANCE") / limit, 4)),
+        "IS_BELOW_MIN_PAYMENT": flag((F.col("AMT_PAYMENT_TOTAL_CURRENT") < minimum) & (minimum > 0)),
+    })
 
 
 CLEANERS = {APPLICATION: clean_application, BUREAU: clean_bureau, PREVIOUS: clean_previous,

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.functions.bands import dti_category
 from loanloom.functions.rounding import rounded_mean
-from loanloom.plans.mart import (PREVIOUS_COUNTS, card_summary, customer_columns, loan_columns, previous_summary,
-                                 select_named)
+from loanloom.plans.mart import PREVIOUS_COUNTS, card_summary, customer_columns, filled, loan_columns, previous_summary
 
-# What a customer gets who has no bureau, payment or card history.
-_HISTORY_DEFAULTS = {
-    "TOTAL_BUREAU_RECORDS": 0, "ACTIVE_CREDITS": 0, "CLOSED_CREDITS": 0, "TOTAL_DEBT": 0, "TOTAL_OVERDUE": 0,
-    "MAX_OVERDUE": 0, "TOTAL_DAYS_OVERDUE": 0, "PREV_DEFAULT_COUNT": 0,
-    "MISSED_PAYMENT_RATIO": 0, "AVG_DAYS_LATE": 0, "MAX_DAYS_LATE": 0, "MAX_DPD": 0, "DELINQUENT_MONTHS": 0,
-    "PAYMENT_RATIO_PCT": 100,
-    "AVG_CREDIT_UTILIZATION_PCT": 0, "BELOW_MIN_PAYMENT_COUNT": 0, "MAX_CC_DPD": 0, "AVG_CC_BALANCE": 0,
-}
+# Output columns in order. A customer without bureau, payment or card history gets 0 there, and a payment ratio of 100.
+_FEATURES = [
+    "CUSTOMER_ID", "GENDER", "AGE", "AGE_BAND", "EDUCATION", "FAMILY_STATUS", "HOUSING_TYPE", "OCCUPATION",
+    "EMPLOYER_TYPE", "INCOME_TYPE", "ANNUAL_INCOME", "INCOME_BAND", "REGION_RATING", "DEFAULT_FLAG",
+    "DTI_PCT", "DTI_CATEGORY", "LOAN_BURDEN_SCORE", "LOAN_AMOUNT", "ANNUAL_REPAYMENT",
+    *filled(0, *PREVIOUS_COUNTS),
+    *filled(0, "TOTAL_BUREAU_RECORDS", "ACTIVE_CREDITS", "CLOSED_CREDITS", "TOTAL_DEBT", "TOTAL_OVERDUE",
+            "MAX_OVERDUE", "TOTAL_DAYS_OVERDUE", "PREV_DEFAULT_COUNT"),
+    *filled(0, "MISSED_PAYMENT_RATIO", "AVG_DAYS_LATE", "MAX_DAYS_LATE", "MAX_DPD", "DELINQUENT_MONTHS"),
+    *filled(100, "PAYMENT_RATIO_PCT"),
+    *filled(0, "AVG_CREDIT_UTILIZATION_PCT", "BELOW_MIN_PAYMENT_COUNT", "MAX_CC_DPD", "AVG_CC_BALANCE"),
+    "YEARS_EMPLOYED", "EMPLOYMENT_BAND",
+]
 
 
 def payment_by_customer(payments: DataFrame) -> DataFrame:
@@ -32,21 +36,6 @@ def payment_by_customer(payments: DataFrame) -> DataFrame:
     )
 
 
-def _feature_columns() -> list[Column]:
-    history = {name: F.coalesce(F.col(name), F.lit(value)).alias(name) for name, value in _HISTORY_DEFAULTS.items()}
-    return [
-        *[F.col(name) for name in (
-            "CUSTOMER_ID", "GENDER", "AGE", "AGE_BAND", "EDUCATION", "FAMILY_STATUS", "HOUSING_TYPE", "OCCUPATION",
-            "EMPLOYER_TYPE", "INCOME_TYPE", "ANNUAL_INCOME", "INCOME_BAND", "REGION_RATING", "DEFAULT_FLAG",
-            "DTI_PCT")],
-        dti_category(F.col("DTI_PCT")).alias("DTI_CATEGORY"),
-        F.col("LOAN_BURDEN_SCORE"), F.col("LOAN_AMOUNT"), F.col("ANNUAL_REPAYMENT"),
-        *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in PREVIOUS_COUNTS],
-        *history.values(),
-        F.col("YEARS_EMPLOYED"), F.col("EMPLOYMENT_BAND"),
-    ]
-
-
 def customer_risk_features(application: DataFrame, previous: DataFrame, credit_history: DataFrame,
                            payments: DataFrame, card: DataFrame) -> DataFrame:
     """Features straight from cleaned applications, previous applications and card months, plus the bureau dimension
@@ -56,23 +45,28 @@ def customer_risk_features(application: DataFrame, previous: DataFrame, credit_h
     those rows are read and deduplicated once and get the aggregated sides joined on. All joins share the customer
     key and its partitioning.
     """
-    return (select_named(application, {**customer_columns(), **loan_columns()})
-            .join(previous_summary(previous), "CUSTOMER_ID", "left")
-            .join(credit_history, "CUSTOMER_ID", "left")
-            .join(payment_by_customer(payments), "CUSTOMER_ID", "left")
-            .join(card_summary(card), "CUSTOMER_ID", "left")
-            .select(*_feature_columns()))
+    customers = application.withColumns({**customer_columns(), **loan_columns()}).selectExpr(
+        "SK_ID_CURR AS CUSTOMER_ID", "CODE_GENDER AS GENDER", "AGE_YEARS AS AGE", "AGE_BAND",
+        "NAME_EDUCATION_TYPE AS EDUCATION", "NAME_FAMILY_STATUS AS FAMILY_STATUS",
+        "NAME_HOUSING_TYPE AS HOUSING_TYPE", "OCCUPATION_TYPE AS OCCUPATION", "ORGANIZATION_TYPE AS EMPLOYER_TYPE",
+        "NAME_INCOME_TYPE AS INCOME_TYPE", "AMT_INCOME_TOTAL AS ANNUAL_INCOME", "INCOME_BAND",
+        "REGION_RATING_CLIENT AS REGION_RATING", "TARGET AS DEFAULT_FLAG", "DTI_PCT", "LOAN_BURDEN_SCORE",
+        "AMT_CREDIT AS LOAN_AMOUNT", "AMT_ANNUITY AS ANNUAL_REPAYMENT", "YEARS_EMPLOYED", "EMPLOYMENT_BAND")
+    return _joined(customers, previous_summary(previous), credit_history, payment_by_customer(payments),
+                   card_summary(card))
 
 
 def features_from_star(customers: DataFrame, loans: DataFrame, credit_history: DataFrame, payments: DataFrame,
                        performance: DataFrame) -> DataFrame:
     """The same features from the five stored star-schema tables."""
-    loans = loans.drop("ANNUAL_INCOME")
-    performance = performance.select("CUSTOMER_ID", "AVG_CREDIT_UTILIZATION_PCT", "BELOW_MIN_PAYMENT_COUNT",
-                                     "MAX_CC_DPD", "AVG_CC_BALANCE")
-    return (customers
-            .join(loans, "CUSTOMER_ID", "left")
-            .join(credit_history, "CUSTOMER_ID", "left")
-            .join(payment_by_customer(payments), "CUSTOMER_ID", "left")
-            .join(performance, "CUSTOMER_ID", "left")
-            .select(*_feature_columns()))
+    return _joined(
+        customers, loans.drop("ANNUAL_INCOME"), credit_history, payment_by_customer(payments),
+        performance.drop("DEFAULT_FLAG", "LOAN_AMOUNT", "ANNUAL_INCOME", "ANNUAL_REPAYMENT"))
+
+
+def _joined(customers: DataFrame, *sides: DataFrame) -> DataFrame:
+    """Every customer with the matching row of each side, if any; all sides have one row per customer."""
+    rows = customers
+    for side in sides:
+        rows = rows.join(side, "CUSTOMER_ID", "left")
+    return rows.withColumn("DTI_CATEGORY", dti_category(F.col("DTI_PCT"))).selectExpr(*_FEATURES)

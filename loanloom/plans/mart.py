@@ -17,39 +17,27 @@ from loanloom.operators.aggregates import count_where, max_or_zero, percentage,
 MONTHS_PER_YEAR = 12
 
 
-def select_named(rows: DataFrame, columns: dict[str, str | Column]) -> DataFrame:
-    """Select new column names given the source column or expression of each."""
-    return rows.select(*[(F.col(source) if isinstance(source, str) else source).alias(name)
-                         for name, source in columns.items()])
-
-
-def customer_columns() -> dict[str, str | Column]:
-    """Columns of ``dim_customer`` over cleaned applications."""
-    return dict(
-        CUSTOMER_ID="SK_ID_CURR", GENDER="CODE_GENDER", AGE="AGE_YEARS", AGE_BAND=age_band(F.col("AGE_YEARS")),
-        EDUCATION="NAME_EDUCATION_TYPE", FAMILY_STATUS="NAME_FAMILY_STATUS", HOUSING_TYPE="NAME_HOUSING_TYPE",
-        NUM_CHILDREN="CNT_CHILDREN", FAMILY_SIZE="CNT_FAM_MEMBERS", OCCUPATION="OCCUPATION_TYPE",
-        EMPLOYER_TYPE="ORGANIZATION_TYPE", YEARS_EMPLOYED="YEARS_EMPLOYED",
-        EMPLOYMENT_BAND=employment_band(F.col("YEARS_EMPLOYED")), INCOME_TYPE="NAME_INCOME_TYPE",
-        ANNUAL_INCOME="AMT_INCOME_TOTAL", INCOME_BAND=income_band(F.col("AMT_INCOME_TOTAL")),
-        REGION_RATING="REGION_RATING_CLIENT", DEFAULT_FLAG="TARGET",
-    )
+def customer_columns() -> dict[str, Column]:
+    """Columns of ``dim_customer`` over cleaned applications that are computed."""
+    return {
+        "AGE_BAND": age_band(F.col("AGE_YEARS")),
+        "EMPLOYMENT_BAND": employment_band(F.col("YEARS_EMPLOYED")),
+        "INCOME_BAND": income_band(F.col("AMT_INCOME_TOTAL")),
+    }
 
 
-def loan_columns() -> dict[str, str | Column]:
-    """Columns of ``dim_loan`` that come from cleaned applications. The ratios are NULL without a positive income."""
+def loan_columns() -> dict[str, Column]:
+    """Columns of ``dim_loan`` over cleaned applications that are computed. NULL without a positive income."""
     income, credit, annuity = F.col("AMT_INCOME_TOTAL"), F.col("AMT_CREDIT"), F.col("AMT_ANNUITY")
 
     def against_income(ratio: Column) -> Column:
         return F.when(income > 0, round_half_away_rows(ratio, 4))
 
-    return dict(
-        CUSTOMER_ID="SK_ID_CURR", CONTRACT_TYPE="NAME_CONTRACT_TYPE", LOAN_AMOUNT="AMT_CREDIT",
-        ANNUAL_REPAYMENT="AMT_ANNUITY", GOODS_PRICE="AMT_GOODS_PRICE", ANNUAL_INCOME="AMT_INCOME_TOTAL",
-        DEBT_TO_INCOME_RATIO=against_income(credit / income),
-        DTI_PCT=against_income(credit / income * F.lit(100)),
-        LOAN_BURDEN_SCORE=against_income(annuity / (income / F.lit(MONTHS_PER_YEAR))),
-    )
+    return {
+        "DEBT_TO_INCOME_RATIO": against_income(credit / income),
+        "DTI_PCT": against_income(credit / income * 100),
+        "LOAN_BURDEN_SCORE": against_income(annuity / (income / MONTHS_PER_YEAR)),
+    }
 
 
 # Columns a customer without any matching rows gets 0 in.
@@ -57,8 +45,9 @@ PREVIOUS_COUNTS = ("TOTAL_PREV_APPLICATIONS", "PREV_APPROVED", "PREV_REFUSED", "
 CARD_TOTALS = ("BELOW_MIN_PAYMENT_COUNT", "TOTAL_CC_DRAWINGS", "AVG_CC_BALANCE", "MAX_CC_DPD")
 
 
-def zero_filled(*names: str) -> list[Column]:
-    return [F.coalesce(F.col(name), F.lit(0)).alias(name) for name in names]
+def filled(value: int, *names: str) -> list[str]:
+    """Select expressions that give ``value`` for NULL."""
+    return [f"coalesce({name}, {value}) AS {name}" for name in names]
 
 
 def previous_summary(previous: DataFrame) -> DataFrame:
@@ -86,13 +75,22 @@ def card_summary(card: DataFrame) -> DataFrame:
 
 
 def dim_customer(application: DataFrame) -> DataFrame:
-    return select_named(application, customer_columns())
+    return application.withColumns(customer_columns()).selectExpr(
+        "SK_ID_CURR AS CUSTOMER_ID", "CODE_GENDER AS GENDER", "AGE_YEARS AS AGE", "AGE_BAND",
+        "NAME_EDUCATION_TYPE AS EDUCATION", "NAME_FAMILY_STATUS AS FAMILY_STATUS",
+        "NAME_HOUSING_TYPE AS HOUSING_TYPE", "CNT_CHILDREN AS NUM_CHILDREN", "CNT_FAM_MEMBERS AS FAMILY_SIZE",
+        "OCCUPATION_TYPE AS OCCUPATION", "ORGANIZATION_TYPE AS EMPLOYER_TYPE", "YEARS_EMPLOYED", "EMPLOYMENT_BAND",
+        "NAME_INCOME_TYPE AS INCOME_TYPE", "AMT_INCOME_TOTAL AS ANNUAL_INCOME", "INCOME_BAND",
+        "REGION_RATING_CLIENT AS REGION_RATING", "TARGET AS DEFAULT_FLAG")
 
 
 def dim_loan(application: DataFrame, previous: DataFrame) -> DataFrame:
-    loans = select_named(application, loan_columns())
+    loans = application.withColumns(loan_columns()).selectExpr(
+        "SK_ID_CURR AS CUSTOMER_ID", "NAME_CONTRACT_TYPE AS CONTRACT_TYPE", "AMT_CREDIT AS LOAN_AMOUNT",
+        "AMT_ANNUITY AS ANNUAL_REPAYMENT", "AMT_GOODS_PRICE AS GOODS_PRICE", "AMT_INCOME_TOTAL AS ANNUAL_INCOME",
+        "DEBT_TO_INCOME_RATIO", "DTI_PCT", "LOAN_BURDEN_SCORE")
     return (loans.join(previous_summary(previous), "CUSTOMER_ID", "left")
-            .select(*loans.columns, *zero_filled(*PREVIOUS_COUNTS)))
+            .selectExpr(*loans.columns, *filled(0, *PREVIOUS_COUNTS)))
 
 
 def dim_credit_history(bureau: DataFrame) -> DataFrame:
@@ -182,8 +180,8 @@ def fact_payment_history(installments: DataFrame, pos: DataFrame, inflate: bool
 
 def fact_loan_performance(application: DataFrame, card: DataFrame) -> DataFrame:
     """Default outcome and card behaviour per customer. Without a card the mean utilisation is NULL, the rest 0."""
-    outcome = select_named(application, dict(
-        CUSTOMER_ID="SK_ID_CURR", DEFAULT_FLAG="TARGET", LOAN_AMOUNT="AMT_CREDIT",
-        ANNUAL_INCOME="AMT_INCOME_TOTAL", ANNUAL_REPAYMENT="AMT_ANNUITY"))
+    outcome = application.selectExpr(
+        "SK_ID_CURR AS CUSTOMER_ID", "TARGET AS DEFAULT_FLAG", "AMT_CREDIT AS LOAN_AMOUNT",
+        "AMT_INCOME_TOTAL AS ANNUAL_INCOME", "AMT_ANNUITY AS ANNUAL_REPAYMENT")
     return (outcome.join(card_summary(card), "CUSTOMER_ID", "left")
-            .select(*outcome.columns, "AVG_CREDIT_UTILIZATION_PCT", *zero_filled(*CARD_TOTALS)))
+            .selectExpr(*outcome.columns, "AVG_CREDIT_UTILIZATION_PCT", *filled(0, *CARD_TOTALS)))

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +51,8 @@ class Rule:
         value = F.col(self.feature)
         cases = F
         for test, points in self.tiers:
-            cases = cases.when(test(value), F.lit(points))
-        return cases.otherwise(F.lit(0)).alias(self.points)
+            cases = cases.when(test(value), points)
+        return cases.otherwise(0)
 
 
 # Thresholds and points of the risk model.
@@ -80,9 +78,13 @@ _FEATURES_KEPT = (
 )
 
 
+def with_points(features: DataFrame) -> DataFrame:
+    return features.withColumns({rule.points: rule.column() for rule in RULES})
+
+
 def risk_points(features: DataFrame) -> DataFrame:
     """Points of each rule per customer."""
-    return features.select("CUSTOMER_ID", *[rule.column() for rule in RULES])
+    return with_points(features).select("CUSTOMER_ID", *[rule.points for rule in RULES])
 
 
 def risk_category(score: Column) -> Column:
@@ -92,10 +94,10 @@ def risk_category(score: Column) -> Column:
 def customer_risk_scores(features: DataFrame) -> DataFrame:
     """Score, category and the loan amount at risk, which counts for high-risk customers only."""
     score = F.col("RISK_SCORE")
-    return (features
-            .select(*_FEATURES_KEPT, *[rule.column() for rule in RULES])
-            .select(*_FEATURES_KEPT, reduce(add, [F.col(rule.points) for rule in RULES]).alias("RISK_SCORE"))
-            .select(*_FEATURES_KEPT, score,
-                    risk_category(score).alias("RISK_CATEGORY"),
-                    F.when(score >= HIGH_FROM, F.col("LOAN_AMOUNT")).otherwise(F.lit(0.0))
-                    .alias("HIGH_RISK_EXPOSURE")))
+    total = " + ".join(rule.points for rule in RULES)
+    return (with_points(features)
+            .selectExpr(*_FEATURES_KEPT, f"{total} AS RISK_SCORE")
+            .withColumns({
+                "RISK_CATEGORY": risk_category(score),
+                "HIGH_RISK_EXPOSURE": F.when(score >= HIGH_FROM, F.col("LOAN_AMOUNT")).otherwise(0.0),
+            }))
