@@ -14,8 +14,9 @@ class Layers:
     Tables can be queried by name, e.g. ``spark.sql("SELECT ... FROM analytics.customer_risk_scores")``.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
         self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         for layer in LAYERS:
             location = f" LOCATION '{root.rstrip('/')}/{layer}'" if root else ""
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}{location}")
@@ -23,14 +24,15 @@ class Layers:
     def replace(self, layer: str, table: str, rows: DataFrame, unique_key: str | None = None) -> DataFrame:
         """Write ``rows`` as the new content of a table and return the stored table.
 
-        A table with one row per ``unique_key`` is bucketed by it, with as many buckets as a shuffle has partitions:
-        joins of such tables then read their buckets side by side and need no shuffle. A unique key cannot make a
-        bucket large; tables with repeated keys stay unbucketed because one busy customer would.
+        A table with one row per ``unique_key`` is bucketed by it, by default into as many buckets as a shuffle has
+        partitions: joins of such tables then read their buckets side by side and need no shuffle. Rows that come out
+        of a shuffle on the key already sit in one task per bucket, so a bucket is one file and writing adds no shuffle.
+        A unique key cannot make a bucket large; tables with repeated keys stay unbucketed because one busy customer
+        would.
         """
         writer = rows.write.mode("overwrite").format("parquet")
         if unique_key:
-            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            writer = writer.bucketBy(buckets, unique_key).sortBy(unique_key)
+            writer = writer.bucketBy(self.buckets, unique_key).sortBy(unique_key)
         writer.saveAsTable(f"{layer}.{table}")
         return self.table(layer, table)
 
