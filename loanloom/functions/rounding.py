@@ -17,7 +17,7 @@ def round_half_away(value: Column, places: int) -> Column:
 
 
 def round_half_away_rows(value: Column, places: int) -> Column:
-    """The same result for row-level data, about twenty times cheaper per value.
+    """The same result for rows and loans, of which there are many: about twenty times cheaper per value.
 
     Built-in ``round`` on a double goes through a decimal string; this stays in double arithmetic. It repeats ``value``,
     so pass a column or a short expression and no aggregate. A double beyond 2^52 units of the last place has no digits

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +23,10 @@ def max_or_zero(value: Column) -> Column:
     return F.max(F.coalesce(value, F.lit(0)))
 
 
-def percentage(part: Column, whole: Column, places: int = 2) -> Column:
+def percentage(part: Column, whole: Column, places: int = 2,
+               rounding: Callable[[Column, int], Column] = round_half_away) -> Column:
     """``part`` in percent of ``whole``; NULL where ``whole`` is 0 or NULL."""
-    return round_half_away(part * 100.0 / F.nullif(whole, F.lit(0)), places)
+    return rounding(part * 100.0 / F.nullif(whole, F.lit(0)), places)
 
 
 def mean_percentage(flag: Column, places: int = 2) -> Column:

@@ -151,21 +151,21 @@ def fact_payment_history(installments: DataFrame, pos: DataFrame, inflate: bool
     By definition every instalment of a loan is paired with every POS month of that loan. With ``m`` months and ``n``
     instalments, totals over instalments count ``max(m, 1)`` times and totals over months ``n`` times, while means,
     ratios and maxima are unaffected. The totals are therefore multiplied instead of building the pairs.
-    ``inflate=False`` leaves them as they are.
+    ``inflate=False`` leaves them as they are. A count beyond BIGINT raises an overflow error.
     """
     loans = _loan_activity(installments, pos)
     per_instalment = F.greatest(F.col("months"), F.lit(1)) if inflate else F.lit(1)
     per_month = F.col("due") if inflate else F.lit(1)
 
     def money(total: str) -> Column:
-        return round_half_away(F.coalesce(F.col(total), F.lit(0.0)) * per_instalment, 4)
+        return round_half_away_rows(F.coalesce(F.col(total), F.lit(0.0)) * per_instalment, 4)
 
     totals = loans.select(
         "CUSTOMER_ID", "PREV_LOAN_ID",
         (F.col("numbered") * per_instalment).alias("TOTAL_INSTALLMENTS"),
         (F.col("late") * per_instalment).alias("LATE_PAYMENTS"),
-        percentage(F.col("late"), F.col("due"), 4).alias("MISSED_PAYMENT_RATIO"),
-        round_half_away(F.col("mean_days_late"), 2).alias("AVG_DAYS_LATE"),
+        percentage(F.col("late"), F.col("due"), 4, round_half_away_rows).alias("MISSED_PAYMENT_RATIO"),
+        round_half_away_rows(F.col("mean_days_late"), 2).alias("AVG_DAYS_LATE"),
         F.col("max_days_late").alias("MAX_DAYS_LATE"),
         money("scheduled").alias("TOTAL_SCHEDULED"),
         money("paid").alias("TOTAL_PAID"),
@@ -174,7 +174,7 @@ def fact_payment_history(installments: DataFrame, pos: DataFrame, inflate: bool
     return totals.select(
         "CUSTOMER_ID", "PREV_LOAN_ID", "TOTAL_INSTALLMENTS", "LATE_PAYMENTS", "MISSED_PAYMENT_RATIO", "AVG_DAYS_LATE",
         "MAX_DAYS_LATE", "TOTAL_SCHEDULED", "TOTAL_PAID",
-        percentage(F.col("TOTAL_PAID"), F.col("TOTAL_SCHEDULED"), 4).alias("PAYMENT_RATIO_PCT"),
+        percentage(F.col("TOTAL_PAID"), F.col("TOTAL_SCHEDULED"), 4, round_half_away_rows).alias("PAYMENT_RATIO_PCT"),
         "MAX_DPD", "DELINQUENT_MONTHS")
 
 

@@ -137,8 +137,9 @@ _ORDER = ("o_orderkey AS k", "o_custkey AS c", "o_orderstatus AS st", "o_totalpr
 
 def _copies(rows: DataFrame, **extra: str) -> DataFrame:
     """Each row once as ``main`` and once more under every name whose condition holds; one scan for all of them."""
-    names = ", ".join(f"CASE WHEN {condition} THEN '{name}' END" for name, condition in extra.items())
-    return rows.selectExpr("*", f"explode(array_compact(array('main', {names}))) AS copy")
+    names = ", ".join(f"'{name}'" for name in ("main", *extra))
+    wanted = " OR ".join(["copy = 'main'", *(f"copy = '{name}' AND {condition}" for name, condition in extra.items())])
+    return rows.selectExpr("*", f"explode(array({names})) AS copy").filter(wanted)
 
 
 def _application(table: Callable[[str], DataFrame]) -> DataFrame:

@@ -10,13 +10,15 @@ RAW, CLEANED, ANALYTICS = LAYERS = ("raw_data", "cleaned_data", "analytics")
 class Layers:
     """The three layers as databases of the session's catalog, kept as Parquet tables.
 
-    ``root`` must be a folder every executor can reach; without it the tables go to ``spark.sql.warehouse.dir``.
+    ``root`` must be a folder every executor can reach. Without it the tables go to the shared folder the cluster names
+    in ``spark.checkpoint.dir``, or if there is none to ``spark.sql.warehouse.dir``.
     Tables can be queried by name, e.g. ``spark.sql("SELECT ... FROM analytics.customer_risk_scores")``.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        root = root or spark.conf.get("spark.checkpoint.dir", None)
         for layer in LAYERS:
             location = f" LOCATION '{root.rstrip('/')}/{layer}'" if root else ""
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}{location}")
