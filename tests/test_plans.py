@@ -29,7 +29,7 @@ def raw_files(spark, tmp_path_factory):
     return Portfolio(lambda table: spark.read.parquet(f"{root}/{table}"))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.portfolio_queries()))
 def test_no_query_pairs_or_interprets_rows(spark, no_broadcast, name):
     plan = plan_of(entry.queries()[name](spark, f"{TESTDATA}/sf0.001"))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastHashJoin", "SortAggregate",
