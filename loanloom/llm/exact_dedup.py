@@ -28,6 +28,8 @@ _STATE_STORE = {
     # All stores of an executor share one bounded cache.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # No space is set aside for logs that stay small: there are as many stores as shuffle partitions.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 _CARRIED = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes")
@@ -43,11 +45,16 @@ def fingerprints(docs: DataFrame, digest=sha256_hex) -> DataFrame:
                        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def _update_state(spark: SparkSession, feed: str, state: str, files_per_batch: int | None) -> None:
-    """Run all fingerprints that have not been seen yet through the keyed state."""
+def _state_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` whose settings are those of the state store; the caller's stay as they are."""
     session = spark.newSession()
     for key, value in {**_STATE_STORE, **{k: spark.conf.get(k) for k in _CARRIED}}.items():
         session.conf.set(key, value)
+    return session
+
+
+def _update_state(session: SparkSession, feed: str, state: str, files_per_batch: int | None) -> None:
+    """Run all fingerprints that have not been seen yet through the keyed state."""
     reader = session.readStream.schema("digest string, doc_id long, file string, row long")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -58,9 +65,9 @@ def _update_state(spark: SparkSession, feed: str, state: str, files_per_batch: i
     query.awaitTermination()
 
 
-def _state(spark: SparkSession, state: str) -> DataFrame:
+def _state(session: SparkSession, state: str) -> DataFrame:
     """The keyed state as a table: digest, stays (doc_id, file, row), group_size."""
-    rows = spark.read.format("statestore").load(state)
+    rows = session.read.format("statestore").load(state)
     stays, count = rows.schema["value"].dataType.names
     return rows.select(F.col("key.digest").alias("digest"), F.col(f"value.`{stays}`").alias("stays"),
                        F.col(f"value.`{count}`").alias("group_size"))
@@ -103,8 +110,10 @@ def deduplicate(docs: DataFrame, state: str | None = None, files_per_batch: int
     feed = f"{folder}/fingerprints"
     prints = stored(fingerprints(docs, digest), feed)
     state = state or f"{folder}/state"
-    _update_state(spark, feed, state, files_per_batch)
-    groups = stored(_state(spark, state), f"{folder}/groups")
+    session = _state_session(spark)
+    _update_state(session, feed, state, files_per_batch)
+    stored(_state(session, state), f"{folder}/groups")
+    groups = spark.read.parquet(f"{folder}/groups")
 
     hits = groups.where("group_size > 1").select("digest")
     differing = stored(collisions(docs, hits, digest), f"{folder}/collisions")
