@@ -5,12 +5,15 @@ member stands for it. Each class has ``BANDS`` band keys of ``ROWS`` MinHash val
 every MinHash sample flips one bit, so that equal samples of two documents cancel and the population count of the XOR of
 their bitmaps tells how many samples differ. At a similarity of 0.75 two documents share no band with probability 2e-4.
 
-Buckets of up to ``SMALL`` members give all their pairs. Larger ones never do: every member is compared with the bucket's
-pivot (its smallest member), and buckets whose members are still in different components after that get further
-pivots, round after round, until all their pairs are compared or connected. So no link within a bucket is lost, and
-a bucket of n copies costs n comparisons. A pair goes on if its odd sketches do not rule the threshold out (by six
-standard deviations), and is linked if the full sets confirm it. Components are found by alternating stars over stored
-tables.
+Buckets of up to ``SMALL`` members give all their pairs. Pairs go on if their odd sketches do not rule the threshold out (by
+six standard deviations), and are linked if the full sets confirm it. Most similar pairs are confirmed first: every document's
+best partners, then components are found, and only pairs between different components are looked at again, until none is
+left. Larger buckets never give pairs: their members carry the components found so far, and a bucket whose members are all in one
+component is settled. In the others, members outside the main component are compared with all others, in chunks of bounded
+size: the task of two chunks has their full sets, gets all sizes of intersections from one matrix product per range of
+shingles, and returns only links that connect components, fewer than it has members. So no link within a bucket is lost,
+no bucket becomes a single task, and a bucket of connected copies costs nothing more. Components are found by alternating
+stars over stored tables.
 
 Defined results: null text is empty; an empty set is linked with nothing; a text of fewer than five words is one shingle;
 a row without ``doc_id`` is linked with nothing, has no component and is kept; rows that share a ``doc_id`` count as one
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (keep_possible, lower_ascii, mix, own_columns, range_hashes, slices, stored, text_arrays, word_ranges,
@@ -34,7 +37,13 @@ from .common import (keep_possible, lower_ascii, mix, own_columns, range_hashes,
 WORDS = 5
 BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
-SMALL = 12
+SMALL = 64
+# How many of its best partners each document is compared with in a round; then all pairs that are left, and as soon as
+# there are only FEW of them.
+BEST = (1, 2)
+FEW = 20_000
+# Members of a larger bucket that are compared with as many others in one task.
+CHUNK = 512
 # Similarity in percent.
 THRESHOLD = 75
 
@@ -90,12 +99,14 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def most_differing_bits(threshold: int = THRESHOLD) -> int:
-    """Bits in which the sketches of two documents at the threshold may differ, six standard deviations above the mean."""
+    """Bits in which the sketches of two documents at the threshold may differ, six standard deviations above the mean:
+    of the number of samples that differ, and of the flips that meet in one bit and cancel."""
     distance = 1 - threshold / 100
-    deviation = math.sqrt(distance * (1 - distance) / _SAMPLES)
-    flips = 2 * _SAMPLES * min(1.0, distance + 6 * deviation)
-    differing = SKETCH_BITS / 2 * (1 - math.exp(-2 * flips / SKETCH_BITS))
-    return min(SKETCH_BITS, math.ceil(differing + 6 * math.sqrt(SKETCH_BITS) / 4))
+    flips = 2 * _SAMPLES * distance
+    slope = math.exp(-2 * flips / SKETCH_BITS)
+    samples = (2 * slope) ** 2 * _SAMPLES * distance * (1 - distance)
+    cancelled = 2 * flips ** 2 / SKETCH_BITS
+    return min(SKETCH_BITS, math.ceil(SKETCH_BITS / 2 * (1 - slope) + 6 * math.sqrt(samples + cancelled)))
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,22 +150,74 @@ def _hex(column: str):
     return F.md5(F.col(column).cast("string"))
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder: str, threshold: int) -> DataFrame:
-    """The candidate pairs (a, b) whose full sets reach the threshold; odd sketches first, then the sets themselves."""
+def likely(classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """a, b, bits of the pairs whose odd sketches do not rule the threshold out."""
     side = {x: classes.select(F.col("doc_id").alias(x), *[F.col(s).alias(f"{x}_{s}") for s in _SKETCH]) for x in "ab"}
     differing = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SKETCH), F.lit(0))
-    likely = pairs.join(side["a"], "a").join(side["b"], "b").where(differing <= most_differing_bits(threshold))
-    likely = stored(likely.select("a", "b").distinct(), f"{folder}/likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    both = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", differing.alias("bits"))
+    return both.where(F.col("bits") <= most_differing_bits(threshold)).groupBy("a", "b").agg(F.min("bits").alias("bits"))
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, shingles of the documents in ``wanted``; other texts are neither moved nor cut up."""
     wanted = wanted.select("doc_id", _hex("doc_id").alias("key"))
     texts = keep_possible(docs.select("doc_id", "text", _hex("doc_id").alias("key")), wanted, "key")
-    sets = stored(texts.join(wanted, ["doc_id", "key"], "left_semi").select("doc_id", "text")
-                  .mapInArrow(_sets, "doc_id long, shingles array<long>"), f"{folder}/sets")
-    both = (likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set")), "a")
+    return texts.join(wanted, ["doc_id", "key"], "left_semi").select("doc_id", "text").mapInArrow(
+        _sets, "doc_id long, shingles array<long>")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    both = (pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set")), "b"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     linked = both.where(100 * shared >= threshold * (F.size("a_set") + F.size("b_set") - shared))
-    return stored(linked.select("a", "b").distinct(), f"{folder}/links")
+    return linked.select("a", "b").distinct()
+
+
+def between_components(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are not known to be connected."""
+    a, b = (found.select(F.col("doc_id").alias(x), F.col("component_id").alias(f"of_{x}")) for x in "ab")
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "bits")
+
+
+def best_partners(pairs: DataFrame, count: int) -> DataFrame:
+    """The pairs that are among the ``count`` most similar of one of their ends."""
+    ends = pairs.select(F.col("a").alias("x"), "a", "b", "bits").unionByName(
+        pairs.select(F.col("b").alias("x"), "a", "b", "bits"))
+    order = Window.partitionBy("x").orderBy("bits", "a", "b")
+    return ends.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count).select(
+        "a", "b", "bits").distinct()
+
+
+class _Links:
+    """Confirmed links and the components they make, so far."""
+
+    def __init__(self, sets: DataFrame, folder: str, threshold: int):
+        self.sets, self.folder, self.threshold, self.steps = sets, folder, threshold, 0
+        spark = sets.sparkSession
+        self.links = spark.createDataFrame([], "a long, b long")
+        self.found = spark.createDataFrame([], "doc_id long, component_id long")
+
+    def settle(self, pairs: DataFrame) -> None:
+        """Confirm or refuse all pairs that matter; ``pairs`` is stored."""
+        for count in (*BEST, None):
+            self.steps += 1
+            folder = f"{self.folder}/step{self.steps}"
+            rest = stored(between_components(pairs, self.found), f"{folder}/rest")
+            left = rest.count()
+            if not left:
+                return
+            last = count is None or left <= FEW
+            chosen = rest if last else stored(best_partners(rest, count), f"{folder}/chosen")
+            more = stored(confirmed(self.sets, chosen, self.threshold), f"{folder}/links")
+            if not more.isEmpty():
+                self.links = self.links.unionByName(more)
+                self.found = components(self.links, folder)
+            if last:
+                return
+            pairs = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
@@ -170,7 +233,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # A document that is the smallest of its neighbourhood keeps its place through its neighbours' edges to it.
-        large = stored(large.where("u <> v").distinct(), f"{folder}/large{step}")
+        large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("x"), "m")
         edges = stored(small.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(),
@@ -183,38 +246,92 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         last, step = now, step + 1
 
 
-def _links(docs: DataFrame, classes: DataFrame, folder: str, threshold: int, small: int) -> DataFrame | None:
+def _linked(docs: DataFrame, classes: DataFrame, folder: str, threshold: int, small: int) -> DataFrame:
     """doc_id, component_id of the classes' documents that are linked with others."""
     bands = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("pivot"))
-    members = stored(bands.join(buckets.where("members > 1"), "bucket"), f"{folder}/members")
+    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = stored(bands.join(buckets, "bucket"), f"{folder}/members")
     few = (members.where(F.col("members") <= small).groupBy("bucket")
            .agg(F.sort_array(F.collect_list("doc_id")).alias("ids")))
-    few = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(
-        F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
-    many = members.where(F.col("members") > small)
-    pairs = few.unionByName(many.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-    links = confirmed(docs, classes, _ordered(pairs), f"{folder}/round0", threshold)
-    found = components(links, f"{folder}/round0")
-    open_members = many.where("doc_id <> pivot").select("bucket", "doc_id")
-    for number in range(1, 1_000_000):
-        # Buckets whose members, without those that were pivots, are in more than one component.
-        labelled = open_members.join(found, "doc_id", "left").select(
-            "bucket", "doc_id", F.coalesce("component_id", "doc_id").alias("label"))
-        unsettled = labelled.groupBy("bucket").agg(
-            F.min("label").alias("least"), F.max("label").alias("most"),
-            F.min("doc_id").alias("pivot")).where("least <> most")
-        rest = stored(labelled.join(unsettled.select("bucket", "pivot"), "bucket"), f"{folder}/open{number}")
-        if rest.isEmpty():
-            return found
-        pivots = rest.where("doc_id = pivot").select("bucket", F.col("label").alias("pivot_label"))
-        pairs = rest.join(pivots.distinct(), "bucket").where("label <> pivot_label").select(
-            F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-        more = confirmed(docs, classes, _ordered(pairs), f"{folder}/round{number}", threshold)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links, f"{folder}/round{number}")
-        open_members = rest.where("doc_id <> pivot").select("bucket", "doc_id")
+    few = few.select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(
+        F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b"))
+    pairs = stored(likely(classes, _ordered(few), threshold), f"{folder}/pairs")
+    many = members.where(F.col("members") > small).select("bucket", "doc_id")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(many.select("doc_id")).distinct()
+    links = _Links(stored(full_sets(docs, wanted), f"{folder}/sets"), folder, threshold)
+    links.settle(pairs)
+    labelled = many.join(links.found, "doc_id", "left").select(
+        "bucket", "doc_id", F.coalesce("component_id", "doc_id").alias("label"))
+    labels = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    unsettled = labels.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("main"), F.sum("size").alias("members"),
+                                             F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    unsettled = stored(unsettled.select("bucket", F.col("main.label").alias("main"), F.col("main.size").alias("in_main"),
+                                        (F.col("members") - F.col("main.size")).alias("others")), f"{folder}/unsettled")
+    if unsettled.isEmpty():
+        return links.found
+    links.links = links.links.unionByName(
+        stored(_chunk_links(labelled.join(unsettled, "bucket"), links.sets, threshold), f"{folder}/chunk_links"))
+    return components(links.links, f"{folder}/last")
+
+
+def _chunk_links(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components within buckets, from rows of bucket, doc_id, label, main, in_main, others.
+
+    Chunks number the members by a hash: those of the main component from 0 up, others from -1 down. Every chunk of others
+    meets every chunk of the bucket; chunks of the main component do not meet each other.
+    """
+    spread = F.xxhash64("doc_id", "bucket")
+    is_main = F.col("label") == F.col("main")
+    mains, others = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("in_main", "others"))
+    rows = rows.withColumn("chunk", F.when(is_main, F.pmod(spread, mains)).otherwise(-1 - F.pmod(spread, others)).cast("int"))
+    # The pairs (low, high) of chunks a member takes part in; low is always a chunk of others.
+    lows = F.transform(F.sequence(F.lit(1), others), lambda i: F.struct((-i).alias("low"), F.col("chunk").alias("high")))
+    own = F.filter(lows, lambda p: p["low"] <= p["high"])
+    highs = F.transform(F.sequence(-others, mains - 1), lambda i: F.struct(F.col("chunk").alias("low"), i.cast("int").alias("high")))
+    both = F.when(is_main, lows).otherwise(F.array_distinct(F.concat(own, F.filter(
+        highs, lambda p: p["low"] <= p["high"]))))
+    tasks = rows.select("bucket", F.explode(both).alias("p"), "doc_id", "label", "chunk")
+    tasks = tasks.join(sets, "doc_id").select("bucket", "p.low", "p.high", "doc_id", "label", "chunk", "shingles")
+
+    def links(table: pa.Table) -> pa.Table:
+        return _compare_chunks(table, threshold)
+
+    return tasks.groupBy("bucket", "low", "high").applyInArrow(links, "a long, b long").distinct()
+
+
+def _compare_chunks(table: pa.Table, threshold: int) -> pa.Table:
+    """Links that connect labels, between the two chunks in ``table`` (or within the one there is)."""
+    ids, labels = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
+    column = table.column("shingles").combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    _, words = np.unique(column.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(words, kind="stable")
+    words, owner = words[order], owner[order]
+    shared = np.zeros((len(ids), len(ids)), np.float32)
+    width = 4096
+    for begin in range(0, int(words[-1]) + 1 if len(words) else 0, width):
+        a, b = np.searchsorted(words, [begin, begin + width])
+        held = np.zeros((len(ids), width), np.float32)
+        held[owner[a:b], words[a:b] - begin] = 1
+        shared += held @ held.T
+    linked = 100 * shared >= threshold * (sizes[:, None] + sizes[None, :] - shared)
+    linked &= labels[:, None] != labels[None, :]
+    parent = {label: label for label in labels.tolist()}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+        x, y = root(int(labels[i])), root(int(labels[j]))
+        if x != y:
+            parent[x] = y
+            found.append(sorted((int(ids[i]), int(ids[j]))))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, small: int = SMALL) -> DataFrame:
@@ -227,8 +344,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, small: int = SM
     # The class's smallest document stands for it; its bands come along.
     first = linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", *_SKETCH)).alias("first"))
     classes = stored(first.select("digest", "first.*"), f"{folder}/classes")
-    # Rows that share an id connect their classes.
-    found = _links(docs, classes, folder, threshold, small)
+    found = _linked(docs, classes, folder, threshold, small)
     labels = classes.select("digest", F.col("doc_id").alias("head")).join(
         found.withColumnRenamed("doc_id", "head"), "head", "left")
     out = rows.join(labels, "digest", "left").select(
