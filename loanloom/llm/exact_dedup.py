@@ -16,6 +16,8 @@ also among repeated rows. An empty table gives an empty result. Columns beside `
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +57,7 @@ def _state_session(spark: SparkSession) -> SparkSession:
 
 def _update_state(session: SparkSession, feed: str, state: str, files_per_batch: int | None) -> None:
     """Run all fingerprints that have not been seen yet through the keyed state."""
-    reader = session.readStream.schema("digest string, doc_id long, file string, row long")
+    reader = session.readStream.schema("digest string, doc_id long, file string, row long").option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     groups = reader.parquet(feed).groupBy("digest").agg(
@@ -107,9 +109,10 @@ def deduplicate(docs: DataFrame, state: str | None = None, files_per_batch: int
     spark = docs.sparkSession
     folder = work_folder(spark, "dedup")
     docs = located(own_columns(docs, "doc_id", "text"), f"{folder}/documents")
-    feed = f"{folder}/fingerprints"
-    prints = stored(fingerprints(docs, digest), feed)
+    # All runs on a state add to the folder its stream reads.
     state = state or f"{folder}/state"
+    feed = f"{state.rstrip('/')}-feed"
+    prints = stored(fingerprints(docs, digest), f"{feed}/{uuid.uuid4().hex}")
     session = _state_session(spark)
     _update_state(session, feed, state, files_per_batch)
     stored(_state(session, state), f"{folder}/groups")

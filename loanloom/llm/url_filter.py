@@ -22,8 +22,8 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 
 BUCKETS = 1 << 14
 SIZES = (3, 4)
-STEPS = 200
-RATE = 3.0
+STEPS = 500
+RATE = 3.8
 BIAS_RATE = 0.3
 DECAY = 1e-4
 # Probability from which a URL is blocked.
