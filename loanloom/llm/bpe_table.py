@@ -34,7 +34,10 @@ from .common import own_columns, range_hashes, slices, text_arrays
 from .tokens import UnitTable, encode_units, encoder, load_tokenizer, ragged, unit_starts
 
 _LISTS = "block int, share int, units binary"
-_ANSWERS = "block int, units binary, ids binary"
+# kind 0: an answer (units and their ids); kind 1: compressed texts in ``units``.
+_PLACED = "block int, kind int, units binary, ids binary"
+# Texts move in compressed packs of about so many bytes.
+PACK_BYTES = 4 << 20
 
 
 # --- lists of units ---------------------------------------------------------------------------------------------------
@@ -118,12 +121,26 @@ def _encode_lists(path: str):
                 places, _ = table.find(hashes)
                 lengths = table.lengths[places]
                 ids = table.pool[ragged(table.starts[places], lengths)]
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([block], pa.int32()), "units": pa.array([blob], pa.binary()),
-                    "ids": pa.array([pack_ids(ids, lengths)], pa.binary())})
+                yield _placed(block, 0, blob, pack_ids(ids, lengths))
     return encode
 
 
+def _placed(block: int, kind: int, units: bytes, ids: bytes | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "block": pa.array([block], pa.int32()), "kind": pa.array([kind], pa.int32()),
+        "units": pa.array([units], pa.binary()), "ids": pa.array([ids], pa.binary())})
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as compressed packs: less to move than rows."""
+    for batch in slices(batches, limit=PACK_BYTES):
+        rows = batch.select(["doc_id", "text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(rows)
+        yield _placed(batch.column("block")[0].as_py(), 1, sink.getvalue().to_pybytes(), None)
+
+
 def _place(path: str, result: Callable, fields: list[tuple[str, pa.DataType]]):
     schema = pa.schema([("doc_id", pa.int64()), *fields])
 
@@ -131,33 +148,24 @@ def _place(path: str, result: Callable, fields: list[tuple[str, pa.DataType]]):
         """Within a block the answers come first, then the texts."""
         own = encoder(path)
         own.table, block = UnitTable(), None
-        for batch in slices(batches):
-            blocks = batch.column("block").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(blocks)) + 1
-            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
-                rows = batch.slice(begin, end - begin)
-                if blocks[begin] != block:
-                    own.table, block = UnitTable(), blocks[begin]
-                answers = int(rows.column("kind").to_numpy(zero_copy_only=False).searchsorted(1))
-                if answers:
-                    _remember(own.table, rows.slice(0, answers))
-                texts = rows.slice(answers)
-                if texts.num_rows:
-                    ids, offsets = own.encode(texts.column("text"))
-                    yield pa.RecordBatch.from_arrays(
-                        [texts.column("doc_id"), *result(ids, offsets)], schema=schema)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] != block:
+                    own.table, block = UnitTable(), row["block"]
+                if row["kind"] == 0:
+                    _remember(own.table, row["units"], row["ids"])
+                    continue
+                with pa.ipc.open_stream(row["units"]) as packed:
+                    for rows in slices(packed):
+                        ids, offsets = own.encode(rows.column("text"))
+                        yield pa.RecordBatch.from_arrays(
+                            [rows.column("doc_id"), *result(ids, offsets)], schema=schema)
     return place
 
 
-def _remember(table: UnitTable, answers: pa.RecordBatch) -> None:
-    hashes, ids, lengths = [], [], []
-    for units, blob in zip(answers.column("units").to_pylist(), answers.column("ids").to_pylist()):
-        data, starts, ends = unpack_units(units)
-        hashes.append(range_hashes(data, starts, ends))
-        own_ids, own_lengths = unpack_ids(blob)
-        ids.append(own_ids)
-        lengths.append(own_lengths)
-    table.add(np.concatenate(hashes), np.concatenate(ids), np.concatenate(lengths))
+def _remember(table: UnitTable, units: bytes, ids: bytes) -> None:
+    data, starts, ends = unpack_units(units)
+    table.add(range_hashes(data, starts, ends), *unpack_ids(ids))
 
 
 def encode_documents(docs: DataFrame, path: str, result: Callable, fields: list[tuple[str, pa.DataType]], ddl: str,
@@ -168,13 +176,9 @@ def encode_documents(docs: DataFrame, path: str, result: Callable, fields: list[
     shares = shares or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
     lists = docs.select(F.spark_partition_id().alias("block"), "text").mapInArrow(_unit_lists(shares), _LISTS)
-    answers = lists.repartition(shares, "share").mapInArrow(_encode_lists(path), _ANSWERS)
-    rows = answers.select("block", F.lit(0).alias("kind"), "units", "ids", F.lit(None).cast("long").alias("doc_id"),
-                          F.lit(None).cast("string").alias("text"))
-    texts = docs.select(F.spark_partition_id().alias("block"), F.lit(1).alias("kind"),
-                        F.lit(None).cast("binary").alias("units"), F.lit(None).cast("binary").alias("ids"),
-                        "doc_id", "text")
-    together = rows.unionByName(texts).repartition(shares, "block").sortWithinPartitions("block", "kind")
+    answers = lists.repartition(shares, "share").mapInArrow(_encode_lists(path), _PLACED)
+    texts = docs.select(F.spark_partition_id().alias("block"), "doc_id", "text").mapInArrow(_pack_texts, _PLACED)
+    together = answers.unionByName(texts).repartition(shares, "block").sortWithinPartitions("block", "kind")
     return together.mapInArrow(_place(path, result, fields), f"doc_id long, {ddl}")
 
 
