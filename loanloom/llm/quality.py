@@ -11,6 +11,7 @@ rows give repeated results; further columns are ignored; an empty table gives an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -221,7 +222,11 @@ def training_sample(docs: DataFrame, known: DataFrame, features: Callable, ddl:
     texts = keep_possible(docs.select("doc_id", "text", key), known.select(key), "key")
     texts = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text")
     rows = texts.mapInArrow(features, ddl).join(F.broadcast(known), "doc_id").toArrow()
-    rows = rows.append_column("tie", pa.array([hash(tuple(x or ())) for x in rows.column(1).to_pylist()], pa.int64()))
+    column = rows.column(1).combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))).tolist()
+    ties = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+    rows = rows.append_column("tie", pa.array(ties, pa.int64()))
     return rows.sort_by([("doc_id", "ascending"), ("tie", "ascending")])
 
 
@@ -229,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     """``docs`` has doc_id (long) and text, ``labels`` doc_id and quality."""
     known = training_labels(labels, "quality", remainder(F.col("doc_id"), 5) != 0, training_rows)
     sample = training_sample(docs, known, _statistics, "doc_id long, x array<float>")
-    table = np.array(sample.column("x").to_pylist(), np.float32).reshape(sample.num_rows, len(FEATURES))
+    table = sample.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     return grow_forest(table, sample.column("label").to_numpy().astype(float))
 
 

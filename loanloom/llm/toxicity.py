@@ -115,7 +115,7 @@ def fit(terms: np.ndarray, offsets: np.ndarray, labels: np.ndarray, rounds: int
     count = len(labels)
     random = np.random.default_rng(seed)
     seen = np.bincount(terms, minlength=BUCKETS)
-    number = np.where(seen >= least, np.cumsum(seen >= least), 0)
+    number = np.where(seen >= least, np.cumsum(seen >= least), 0).astype(np.int32)
     size = int(number.max()) + 1
     share = float(labels.mean()) if count else 0.5
     if not count or labels.min() == labels.max():
