@@ -2,9 +2,11 @@
 
 Vectors are cut into blocks of bounded size. A block's index is one sorted array per random projection. A query places a
 window around its own projection in every array; a vector collides once for each window that holds it. Windows grow step by
-step (virtual rehashing: wider buckets without a new index, and only what a step adds is counted) until enough vectors of
-the block reach the collision threshold. All of those are verified: their cosines are computed in double precision on
-the original vectors. A query's best of all blocks are its neighbours.
+step (virtual rehashing: wider buckets without a new index, and only what a step adds is counted) until vectors of enough
+distinct ids other than the query's own reach the collision threshold. All of those are verified: their cosines are computed
+in double precision on the original vectors. A query's best of all blocks are its neighbours.
+
+Equal rows (same ``vec_id``, same components) are merged before the blocks are cut, so copies take no room in them.
 
 Queries are a stated set of rows; block by block they meet every vector. Work moves as whole blocks, never as pairs, and
 each pair of blocks is a task's worth of bounded size.
@@ -27,7 +29,8 @@ from .tokens import ragged
 PROJECTIONS = 96
 # Collisions from which a vector is verified, as a share of the projections.
 COLLISIONS = 0.6
-# A block's windows grow until this share of its vectors, or at least so many, reach the threshold (or all are covered).
+# A block's windows grow until this share of its ids, or at least so many, reach the threshold (or all are covered). Ids are
+# counted once, whatever their number of vectors, and without the query's own.
 ENOUGH_SHARE, ENOUGH = 0.12, 120
 FIRST_WIDTH, GROWTH = 0.5, 1.1
 BLOCK_VECTORS = 8192
@@ -55,6 +58,7 @@ class BlockIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = 11):
         self.ids, self.vectors = ids, vectors
+        self.distinct = np.unique(ids)
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.directions = np.random.default_rng(seed).normal(size=(vectors.shape[1], projections))
         values = ((vectors / self.norms[:, None]) @ self.directions).T
@@ -64,10 +68,12 @@ class BlockIndex:
         self.order = order.ravel()
         self.sorted = (np.take_along_axis(values, order, axis=1) + self.lift[:, None]).ravel()
 
-    def candidates(self, query: np.ndarray, enough: int = ENOUGH, share: float = COLLISIONS) -> np.ndarray:
-        """Places of the vectors that collide often enough, in windows just wide enough for ``enough`` of them."""
+    def candidates(self, query_id: int, query: np.ndarray, enough: int = ENOUGH, share: float = COLLISIONS) -> np.ndarray:
+        """Places of the other ids' vectors that collide often enough, in windows just wide enough for ``enough`` ids."""
         size, arrays = len(self.ids), len(self.lift)
-        enough = max(enough, int(ENOUGH_SHARE * size))
+        other = self.ids != query_id
+        others = len(self.distinct) - int(query_id in self.distinct)
+        enough = min(max(enough, int(ENOUGH_SHARE * len(self.distinct))), others)
         own = query / np.sqrt((query * query).sum()) @ self.directions + self.lift
         low = np.searchsorted(self.sorted, own)
         high = low.copy()
@@ -79,15 +85,14 @@ class BlockIndex:
             added = np.concatenate([ragged(new_low, low - new_low), ragged(high, new_high - high)])
             counts += np.bincount(self.order[added], minlength=size)
             low, high = new_low, new_high
-            found = np.flatnonzero(counts >= share * arrays)
-            if len(found) >= min(enough, size) or (high - low).min() == size:
+            found = np.flatnonzero((counts >= share * arrays) & other)
+            if (high - low).min() == size or len(found) >= enough and len(np.unique(self.ids[found])) >= enough:
                 return found
             width *= GROWTH
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
         """The best k of this block by score, then id, without the query's own id; one entry per id."""
-        at = self.candidates(query)
-        at = at[self.ids[at] != query_id]
+        at = self.candidates(query_id, query)
         scores = cosines(self.vectors[at], self.norms[at], query, np.sqrt((query * query).sum()))
         best: dict[int, float] = {}
         for i in np.lexsort([self.ids[at], -scores]):
@@ -120,11 +125,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, block_vectors: int
            block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest vectors found for each row on which ``is_query`` (on vec_id) holds."""
     spark = vectors.sparkSession
-    rows = stored(usable(vectors).withColumn("place", F.monotonically_increasing_id()),
+    merged = usable(vectors).groupBy("vec_id", "embedding").agg(F.count(F.lit(1)).alias("copies"))
+    rows = stored(merged.withColumn("place", F.monotonically_increasing_id()),
                   f"{work_folder(spark, 'neighbours')}/vectors")
     # The length of most vectors; others cannot be compared with them.
-    usual = rows.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("rows")).orderBy(
-        F.desc("rows"), "size").first()
+    usual = rows.groupBy(F.size("embedding").alias("size")).agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).orderBy(F.desc("copies"), "size").first()
     if usual is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     rows = rows.where(F.size("embedding") == usual["size"])

@@ -377,6 +377,23 @@ def test_neighbours(spark):
     assert neighbours.search(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("jitter", [0.0, 1e-3])
+def test_neighbours_of_a_frequent_id(spark, jitter):
+    """A query id on half of all rows, with equal and with differing vectors, still has its neighbours, as have others."""
+    random = np.random.default_rng(8)
+    vectors = random.normal(size=(400, 16))
+    copies = vectors[0] + jitter * random.normal(size=(400, 16))
+    rows = [(int(i), [float(x) for x in v]) for i, v in [*enumerate(vectors), *((0, v) for v in copies)]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.search(table, F.col("vec_id") % 100 == 0, k=5, block_vectors=300, block_queries=50).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(set(ids) - {q}) for q, ids in found.items()} == {0: 5, 100: 5, 200: 5, 300: 5}
+    unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+    best = {q: set(np.argsort(-np.where(np.arange(400) == q, -2, unit @ unit[q]))[:5].tolist()) for q in found}
+    assert sum(len(best[q] & set(found[q])) for q in found) >= 18
+
+
 # --- URL filter -------------------------------------------------------------------------------------------------------
 
 URLS = [(1, "https://A.Example.COM/en/1?x=/fr/#y", "example.com/en/", "block"), (2, "http://www.example.com/en/2", "www.example.com/en/", "allow"),
