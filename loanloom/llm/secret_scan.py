@@ -3,8 +3,10 @@
 Known forms are assignments to telling names, access keys and long hexadecimal strings. Beyond those, every run of at least
 ``WINDOW`` characters that could belong to an encoded secret is a candidate: a window slides over it, and the Shannon entropy of
 the characters in the window is kept up to date from the counts of the one character that enters and the one that leaves. The
-candidate's character class (digits, hexadecimal, letters and digits, all) sets the entropy from which it counts as random.
-Candidates on the allow-list, and those inside a span already found, are suppressed.
+character class (digits, hexadecimal, letters and digits, all) sets the entropy from which a string counts as random. What
+placeholder words and UUIDs leave of a candidate is scored as a whole and, by their own classes, in its parts between ``=``,
+``/`` and ``_``; one random string makes the whole candidate a span. Strings on the allow-list, and candidates inside a span
+already found, are suppressed.
 
 Spans are (kind, start, end) in code points, the end exclusive.
 
@@ -38,14 +40,20 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 
 WINDOW = 24
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
-# Character classes, from narrow to wide, and the entropy in bits from which a window counts as random.
-CLASSES = (("digits", re.compile(r"[0-9]+"), 3.2), ("hex", re.compile(r"[0-9A-Fa-f]+"), 3.3),
-           ("word", re.compile(r"[A-Za-z0-9]+"), 4.0), ("all", re.compile(r"[A-Za-z0-9+/_=-]+"), 4.2))
+_BETWEEN = re.compile(r"[=/_]+")
+# Character classes, from narrow to wide, and the entropy in bits from which a window counts as random: the 1 % quantile of
+# uniformly random strings of WINDOW characters (10, 16, 62 and 64 different ones).
+CLASSES = (("digits", re.compile(r"[0-9]+"), 2.62), ("hex", re.compile(r"[0-9A-Fa-f]+"), 3.04),
+           ("word", re.compile(r"[A-Za-z0-9]+"), 3.85), ("all", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.88))
+_UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+# A part of a path or a name: letters of one case (perhaps a capital first) and up to four digits.
+_WORD = r"(?:(?:[A-Z]?[a-z]{1,20}|[A-Z]{1,20})[0-9]{0,4}|[0-9]{1,4})"
 # Harmless although they may look random.
 ALLOWED = (re.compile(r"[A-Za-z]+"), re.compile(r"(.{1,12}?)\1+.{0,12}"),
-           re.compile(r"[A-Za-z]{1,20}([-_/=+]+[A-Za-z]{1,20})*[-_/=+]*[0-9]{0,4}"),
-           re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-           re.compile(r"(?i)(example|sample|dummy|test|placeholder|x{4}).*"))
+           re.compile(r"[A-Za-z]{1,20}([-_/=+]+[A-Za-z]{1,20})*[-_/=+]*[0-9]{0,4}"), re.compile(_UUID),
+           re.compile(rf"[-_/=+]*{_WORD}(?:[-_/=+]+{_WORD})*[-_/=+]*"))
+# Harmless by themselves; what stands before and after them is not.
+_HARMLESS = re.compile(r"(?<![A-Za-z0-9])(?:(?i:example|sample|dummy|test|placeholder|x{4,})|" + _UUID + r"(?![A-Za-z0-9]))")
 
 Span = tuple[str, int, int]
 
@@ -77,11 +85,17 @@ def largest_entropy(text: str, window: int = WINDOW) -> float:
     return math.log2(width) - least / width
 
 
+def is_random(text: str, window: int = WINDOW) -> bool:
+    if len(text) < window or any(pattern.fullmatch(text) for pattern in ALLOWED):
+        return False
+    limit = next(limit for _, pattern, limit in CLASSES if pattern.fullmatch(text))
+    return largest_entropy(text, window) >= limit
+
+
 def looks_random(candidate: str, window: int = WINDOW) -> bool:
     if any(pattern.fullmatch(candidate) for pattern in ALLOWED):
         return False
-    limit = next(limit for _, pattern, limit in CLASSES if pattern.fullmatch(candidate))
-    return largest_entropy(candidate, window) >= limit
+    return any(is_random(text, window) for rest in _HARMLESS.split(candidate) for text in (rest, *_BETWEEN.split(rest)))
 
 
 def base_spans(text: str) -> list[Span]:

@@ -252,6 +252,32 @@ def test_sliding_entropy_is_the_largest_of_all_windows():
         assert abs(secret_scan.largest_entropy(text) - max(entropy)) < 1e-9
 
 
+CHARACTERS = {"digits": "0123456789", "hex": "0123456789ABCDEF",
+              "word": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+CHARACTERS["all"] = CHARACTERS["word"] + "+/"
+
+
+@pytest.mark.parametrize("kind", list(CHARACTERS))
+def test_random_strings_are_found(kind):
+    """Alone and behind a name, from the shortest candidate on; the limits are the low quantile that they are said to be."""
+    random = np.random.default_rng(9)
+    words = ["".join(random.choice(list(CHARACTERS[kind]), size=secret_scan.WINDOW)) for _ in range(2000)]
+    limit = next(limit for name, _, limit in secret_scan.CLASSES if name == kind)
+    assert 0.002 < np.mean([secret_scan.largest_entropy(w) < limit for w in words]) < 0.02
+    for prefix in ("", "key=", "id_"):
+        assert np.mean([secret_scan.looks_random(prefix + w) for w in words]) > 0.95
+
+
+def test_placeholders_suppress_only_themselves():
+    secret = "Zx81kQp0aLmN47tYvB2cWs9R"
+    for text in (f"testdb_pw={secret}", f"example/{secret}", f"{secret}_test", f"test{secret}",
+                 f"123e4567-e89b-12d3-a456-426614174000={secret}"):
+        assert secret_scan.looks_random(text)
+    for text in ("example_access_key_12345", "xxxxxxxxxxxx-xxxxxxxxxxxxxxx", "id=123e4567-e89b-12d3-a456-426614174000",
+                 "placeholder_Zx81kQp0aLmN", "tests/llm/test_operators", "13/site-packages/pyspark/worker_util"):
+        assert not secret_scan.looks_random(text)
+
+
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
