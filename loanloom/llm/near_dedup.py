@@ -334,6 +334,14 @@ def _compare_chunks(table: pa.Table, threshold: int) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
+def _ids_of_several_sets(rows: DataFrame) -> DataFrame:
+    """doc_id of the ids that occur with more than one set; the empty set (a null digest) is one, but not alone."""
+    sets = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("digest").alias("first"), F.max("digest").alias("last"), F.count("digest").alias("full"),
+        F.count(F.lit(1)).alias("all"))
+    return sets.where("first <> last OR (full > 0 AND full < all)").select("doc_id")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (columns doc_id and text)."""
     spark = docs.sparkSession
@@ -345,11 +353,24 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, small: int = SM
     first = linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", *_SKETCH)).alias("first"))
     classes = stored(first.select("digest", "first.*"), f"{folder}/classes")
     found = _linked(docs, classes, folder, threshold, small)
+    # Ids with several sets connect the classes of all of them; their rows without a set follow them.
+    several = stored(_ids_of_several_sets(rows), f"{folder}/several")
+    is_several = not several.isEmpty()
+    if is_several:
+        meet = rows.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(
+            classes.select("digest", F.col("doc_id").alias("head")), "digest").where("doc_id <> head")
+        links = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(
+            meet.select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
+        found = components(stored(links, f"{folder}/meet"), f"{folder}/joined")
     labels = classes.select("digest", F.col("doc_id").alias("head")).join(
         found.withColumnRenamed("doc_id", "head"), "head", "left")
     out = rows.join(labels, "digest", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "head", "doc_id")).alias("component_id"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "head")).alias("component_id"))
+    if is_several:
+        own = found.join(several, "doc_id", "left_semi").withColumnRenamed("component_id", "own")
+        out = out.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "own").alias("component_id"))
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -137,6 +137,16 @@ def test_near_dedup_edges(edge, empty, small):
     assert near_dedup.near_duplicates(empty, small=small).count() == 0
 
 
+def test_near_dedup_joins_all_texts_of_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    texts = [(1, a), (5, a), (5, b), (9, b), (20, c), (21, c + " more"), (21, None), (30, ""), (30, ""), (40, b + " more")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [
+        (1, 1), (5, 1), (5, 1), (9, 1), (20, 20), (21, 20), (21, 20), (30, 30), (30, 30), (40, 1)]
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()) == [1, 20, 30, 30]
+
+
 def test_near_dedup_large_bucket(spark, monkeypatch):
     """Chains of copies in which neighbours are linked and ends are not, all in large buckets and many chunks."""
     words = [f"w{i}" for i in range(60)]
