@@ -8,7 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_table, exact_dedup, near_dedup, neighbours, packing, quality, secret_scan, token_files, toxicity, url_filter
+from . import (bpe_table, exact_dedup, fill_middle, near_dedup, neighbours, packing, quality, secret_scan, token_files, toxicity,
+               url_filter)
 from .common import own_columns, work_folder
 
 TOKENIZERS = "/opt/tokenizers"
@@ -74,9 +75,13 @@ def op10_url_filter(spark: SparkSession, directory: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.train(url_filter.examples(spark))).drop("score")
 
 
+def op11_fill_middle(spark: SparkSession, directory: str) -> DataFrame:
+    return fill_middle.digests(documents(spark, directory))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_near_dedup, op3_quality, op4_secrets, op5_bpe, op6_toxicity, op7_token_files, op8_neighbours,
-    op9_packing, op10_url_filter)}
+    op9_packing, op10_url_filter, op11_fill_middle)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -105,5 +110,27 @@ reach AS (SELECT doc_id AS doc, doc_id AS other FROM documents UNION SELECT doc,
 heads AS (SELECT doc, min(other) AS component_id FROM reach GROUP BY doc)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, component_id = doc_id AS kept
 FROM sets JOIN heads ON doc = doc_id
+""",
+    "op11_fill_middle": r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+tokens AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w,
+    list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS k
+  FROM texts),
+cuts AS (
+  SELECT *, len(w) AS n, least(k[1] % (len(w) + 1), k[2] % (len(w) + 1)) AS i, greatest(k[1] % (len(w) + 1), k[2] % (len(w) + 1)) AS j,
+    CASE WHEN doc_id IS NULL OR t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 90
+         THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM tokens),
+parts AS (
+  SELECT doc_id, t, n, form, array_to_string(w[:i], '') AS prefix, array_to_string(w[i + 1:j], '') AS middle,
+    array_to_string(w[j + 1:], '') AS suffix
+  FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
 """,
 }
