@@ -9,7 +9,7 @@ their end by pointer jumping, whose joins Spark splits where many ids have the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -135,15 +135,18 @@ def unsettled(members: DataFrame, found: DataFrame, folder: str) -> DataFrame:
     return merged.join(counts, "main").select(F.col("main").alias("bucket"), "doc_id", "label", "main", "in_main", "others")
 
 
-def chunk_links(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def chunk_links(rows: DataFrame, sets: DataFrame, threshold: int, sketch: Sequence[str] = (),
+                unlike: Callable[[np.ndarray, int], np.ndarray] | None = None, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between components within buckets, from rows of bucket, doc_id, label, main, in_main, others.
 
+    ``unlike`` may tell from the columns ``sketch`` which pairs cannot reach the threshold.
+
     Chunks number the members by a hash: those of the main component from 0 up, others from -1 down. Every chunk of others
     meets every chunk of the bucket; chunks of the main component do not meet each other.
     """
     spread = F.xxhash64("doc_id", "bucket")
     is_main = F.col("label") == F.col("main")
-    mains, others = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("in_main", "others"))
+    mains, others = (F.ceil(F.col(c) / chunk).cast("int") for c in ("in_main", "others"))
     rows = rows.withColumn("chunk", F.when(is_main, F.pmod(spread, mains)).otherwise(-1 - F.pmod(spread, others)).cast("int"))
     # The pairs (low, high) of chunks a member takes part in; low is always a chunk of others.
     lows = F.transform(F.sequence(F.lit(1), others), lambda i: F.struct((-i).alias("low"), F.col("chunk").alias("high")))
@@ -151,10 +154,15 @@ def chunk_links(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     highs = F.transform(F.sequence(-others, mains - 1), lambda i: F.struct(F.col("chunk").alias("low"), i.cast("int").alias("high")))
     both = F.when(is_main, lows).otherwise(F.array_distinct(F.concat(own, F.filter(
         highs, lambda p: p["low"] <= p["high"]))))
-    tasks = rows.select("bucket", F.explode(both).alias("p"), "doc_id", "label", "chunk")
-    tasks = tasks.join(sets, "doc_id").select("bucket", "p.low", "p.high", "doc_id", "label", "chunk", "shingles")
+    tasks = rows.select("bucket", F.explode(both).alias("p"), "doc_id", "label", *sketch)
+    tasks = tasks.join(sets, "doc_id").select("bucket", "p.low", "p.high", "doc_id", "label", *sketch, "shingles")
 
     def links(table: pa.Table) -> pa.Table:
+        if unlike:
+            columns = np.stack([table.column(name).to_numpy() for name in sketch], axis=1)
+            labels = table.column("label").to_numpy()
+            possible = ~unlike(columns, threshold) & (labels[:, None] != labels[None, :])
+            table = table.filter(pa.array(possible.any(axis=1)))
         return compare_chunks(table, threshold)
 
     return tasks.groupBy("bucket", "low", "high").applyInArrow(links, "a long, b long").distinct()

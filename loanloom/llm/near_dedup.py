@@ -5,15 +5,12 @@ member stands for it. Each class has ``BANDS`` band keys of ``ROWS`` MinHash val
 every MinHash sample flips one bit, so that equal samples of two documents cancel and the population count of the XOR of
 their bitmaps tells how many samples differ. At a similarity of 0.75 two documents share no band with probability 2e-4.
 
-Buckets of up to ``SMALL`` members give all their pairs. Pairs go on if their odd sketches do not rule the threshold out (by
-six standard deviations), and are linked if the full sets confirm it. Most similar pairs are confirmed first: every document's
-best partners, then components are found, and only pairs between different components are looked at again, until none is
-left. Larger buckets never give pairs: their members carry the components found so far, and a bucket whose members are all in one
-component is settled. In the others, members outside the main component are compared with all others, in chunks of bounded
-size: the task of two chunks has their full sets, gets all sizes of intersections from one matrix product per range of
-shingles, and returns only links that connect components, fewer than it has members. So no link within a bucket is lost,
-no bucket becomes a single task, and a bucket of connected copies costs nothing more. Components are found by alternating
-stars over stored tables.
+Buckets of up to ``SMALL`` members give all their pairs, larger ones the pairs of one member with all others. Pairs go on if
+their odd sketches do not rule the threshold out (by six standard deviations), and are linked if the full sets confirm it.
+Every document's most similar partners are confirmed first; components are found, and of the other pairs only those between
+different components are looked at. Larger buckets whose members are not all in one component by then are compared in chunks,
+members outside the main component with all others, again by odd sketches before the full sets (see ``links``). So no link
+within a bucket is lost, no bucket becomes a single task, and a bucket of connected copies costs one pair per member.
 
 Defined results: null text is empty; an empty set is linked with nothing; a text of fewer than five words is one shingle;
 a row without ``doc_id`` is linked with nothing, has no component and is kept; rows that share a ``doc_id`` count as one
@@ -28,22 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import (keep_possible, lower_ascii, mix, own_columns, range_hashes, slices, stored, text_arrays, word_ranges,
-                     work_folder)
+from .common import keep_possible, lower_ascii, mix, range_hashes, slices, stored, text_arrays, word_ranges, work_folder
+from .links import chunk_links, components, shared_ids, unsettled, with_components
 
 WORDS = 5
 BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
 SMALL = 64
-# How many of its best partners each document is compared with in a round; then all pairs that are left, and as soon as
-# there are only FEW of them.
-BEST = (1, 2)
-FEW = 20_000
 # Members of a larger bucket that are compared with as many others in one task.
 CHUNK = 512
+# How many of its most similar partners each document is compared with before components are first found.
+BEST = 3
 # Similarity in percent.
 THRESHOLD = 75
 
@@ -152,7 +147,7 @@ def _hex(column: str):
 
 def likely(classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """a, b, bits of the pairs whose odd sketches do not rule the threshold out."""
-    side = {x: classes.select(F.col("doc_id").alias(x), *[F.col(s).alias(f"{x}_{s}") for s in _SKETCH]) for x in "ab"}
+    side = {x: classes.select(F.col("head").alias(x), *[F.col(s).alias(f"{x}_{s}") for s in _SKETCH]) for x in "ab"}
     differing = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SKETCH), F.lit(0))
     both = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", differing.alias("bits"))
     return both.where(F.col("bits") <= most_differing_bits(threshold)).groupBy("a", "b").agg(F.min("bits").alias("bits"))
@@ -191,186 +186,67 @@ def best_partners(pairs: DataFrame, count: int) -> DataFrame:
         "a", "b", "bits").distinct()
 
 
-class _Links:
-    """Confirmed links and the components they make, so far."""
-
-    def __init__(self, sets: DataFrame, folder: str, threshold: int):
-        self.sets, self.folder, self.threshold, self.steps = sets, folder, threshold, 0
-        spark = sets.sparkSession
-        self.links = spark.createDataFrame([], "a long, b long")
-        self.found = spark.createDataFrame([], "doc_id long, component_id long")
-
-    def settle(self, pairs: DataFrame) -> None:
-        """Confirm or refuse all pairs that matter; ``pairs`` is stored."""
-        for count in (*BEST, None):
-            self.steps += 1
-            folder = f"{self.folder}/step{self.steps}"
-            rest = stored(between_components(pairs, self.found), f"{folder}/rest")
-            left = rest.count()
-            if not left:
-                return
-            last = count is None or left <= FEW
-            chosen = rest if last else stored(best_partners(rest, count), f"{folder}/chosen")
-            more = stored(confirmed(self.sets, chosen, self.threshold), f"{folder}/links")
-            if not more.isEmpty():
-                self.links = self.links.unionByName(more)
-                self.found = components(self.links, folder)
-            if last:
-                return
-            pairs = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
-
-
-def components(links: DataFrame, folder: str) -> DataFrame:
-    """doc_id, component_id of every document in ``links`` (a, b), by alternating large and small stars.
-
-    Every step replaces edges by edges to smaller documents and keeps what is connected; it ends with one star per
-    component, whose centre is the smallest document. Tables are stored after each step.
-    """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    last, step = None, 0
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # A document that is the smallest of its neighbourhood keeps its place through its neighbours' edges to it.
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("x"), "m")
-        edges = stored(small.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(),
-                       f"{folder}/small{step}")
-        # Steps only ever lower the smaller ends, so equal sums mean equal edges.
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")),
-                        F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
-        last, step = now, step + 1
-
-
-def _linked(docs: DataFrame, classes: DataFrame, folder: str, threshold: int, small: int) -> DataFrame:
-    """doc_id, component_id of the classes' documents that are linked with others."""
-    bands = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = stored(bands.join(buckets, "bucket"), f"{folder}/members")
+def _bucket_pairs(members: DataFrame, small: int) -> DataFrame:
+    """All pairs (a, b) of small buckets, those with the leader of large ones."""
     few = (members.where(F.col("members") <= small).groupBy("bucket")
            .agg(F.sort_array(F.collect_list("doc_id")).alias("ids")))
     few = few.select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(
         F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b"))
-    pairs = stored(likely(classes, _ordered(few), threshold), f"{folder}/pairs")
+    return few.unionByName(members.where(F.col("members") > small).select(
+        F.col("doc_id").alias("a"), F.col("leader").alias("b")))
+
+
+def unlike(sketches: np.ndarray, threshold: int) -> np.ndarray:
+    """Which pairs of rows of ``sketches`` rule the threshold out."""
+    bits = np.zeros((len(sketches), len(sketches)), np.uint16)
+    for column in sketches.T.view(np.uint64):
+        bits += np.bitwise_count(column[:, None] ^ column[None, :])
+    return bits > most_differing_bits(threshold)
+
+
+def _linked(docs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str, threshold: int, small: int) -> DataFrame:
+    """doc_id, component_id of the documents that are linked with others."""
+    bands = classes.select(F.col("head").alias("doc_id"), F.explode("bands").alias("bucket"))
+    # Any member can lead; it differs between buckets.
+    buckets = bands.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("hash"), "doc_id")).alias("first")).where("members > 1")
+    members = stored(bands.join(buckets, "bucket").select(
+        "bucket", "doc_id", "members", F.col("first.doc_id").alias("leader")), f"{folder}/members")
+    pairs = stored(likely(classes, _ordered(_bucket_pairs(members, small)), threshold), f"{folder}/pairs")
     many = members.where(F.col("members") > small).select("bucket", "doc_id")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(many.select("doc_id")).distinct()
-    links = _Links(stored(full_sets(docs, wanted), f"{folder}/sets"), folder, threshold)
-    links.settle(pairs)
-    labelled = many.join(links.found, "doc_id", "left").select(
-        "bucket", "doc_id", F.coalesce("component_id", "doc_id").alias("label"))
-    labels = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-    unsettled = labels.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("main"), F.sum("size").alias("members"),
-                                             F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    unsettled = stored(unsettled.select("bucket", F.col("main.label").alias("main"), F.col("main.size").alias("in_main"),
-                                        (F.col("members") - F.col("main.size")).alias("others")), f"{folder}/unsettled")
-    if unsettled.isEmpty():
-        return links.found
-    links.links = links.links.unionByName(
-        stored(_chunk_links(labelled.join(unsettled, "bucket"), links.sets, threshold), f"{folder}/chunk_links"))
-    return components(links.links, f"{folder}/last")
-
-
-def _chunk_links(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between components within buckets, from rows of bucket, doc_id, label, main, in_main, others.
-
-    Chunks number the members by a hash: those of the main component from 0 up, others from -1 down. Every chunk of others
-    meets every chunk of the bucket; chunks of the main component do not meet each other.
-    """
-    spread = F.xxhash64("doc_id", "bucket")
-    is_main = F.col("label") == F.col("main")
-    mains, others = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("in_main", "others"))
-    rows = rows.withColumn("chunk", F.when(is_main, F.pmod(spread, mains)).otherwise(-1 - F.pmod(spread, others)).cast("int"))
-    # The pairs (low, high) of chunks a member takes part in; low is always a chunk of others.
-    lows = F.transform(F.sequence(F.lit(1), others), lambda i: F.struct((-i).alias("low"), F.col("chunk").alias("high")))
-    own = F.filter(lows, lambda p: p["low"] <= p["high"])
-    highs = F.transform(F.sequence(-others, mains - 1), lambda i: F.struct(F.col("chunk").alias("low"), i.cast("int").alias("high")))
-    both = F.when(is_main, lows).otherwise(F.array_distinct(F.concat(own, F.filter(
-        highs, lambda p: p["low"] <= p["high"]))))
-    tasks = rows.select("bucket", F.explode(both).alias("p"), "doc_id", "label", "chunk")
-    tasks = tasks.join(sets, "doc_id").select("bucket", "p.low", "p.high", "doc_id", "label", "chunk", "shingles")
-
-    def links(table: pa.Table) -> pa.Table:
-        return _compare_chunks(table, threshold)
-
-    return tasks.groupBy("bucket", "low", "high").applyInArrow(links, "a long, b long").distinct()
-
-
-def _compare_chunks(table: pa.Table, threshold: int) -> pa.Table:
-    """Links that connect labels, between the two chunks in ``table`` (or within the one there is)."""
-    ids, labels = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
-    column = table.column("shingles").combine_chunks()
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    _, words = np.unique(column.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    owner = np.repeat(np.arange(len(ids)), sizes)
-    order = np.argsort(words, kind="stable")
-    words, owner = words[order], owner[order]
-    shared = np.zeros((len(ids), len(ids)), np.float32)
-    width = 4096
-    for begin in range(0, int(words[-1]) + 1 if len(words) else 0, width):
-        a, b = np.searchsorted(words, [begin, begin + width])
-        held = np.zeros((len(ids), width), np.float32)
-        held[owner[a:b], words[a:b] - begin] = 1
-        shared += held @ held.T
-    linked = 100 * shared >= threshold * (sizes[:, None] + sizes[None, :] - shared)
-    linked &= labels[:, None] != labels[None, :]
-    parent = {label: label for label in labels.tolist()}
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    found = []
-    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
-        x, y = root(int(labels[i])), root(int(labels[j]))
-        if x != y:
-            parent[x] = y
-            found.append(sorted((int(ids[i]), int(ids[j]))))
-    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-
-def _ids_of_several_sets(rows: DataFrame) -> DataFrame:
-    """doc_id of the ids that occur with more than one set; the empty set (a null digest) is one, but not alone."""
-    sets = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.min("digest").alias("first"), F.max("digest").alias("last"), F.count("digest").alias("full"),
-        F.count(F.lit(1)).alias("all"))
-    return sets.where("first <> last OR (full > 0 AND full < all)").select("doc_id")
+    sets = stored(full_sets(docs, wanted), f"{folder}/sets")
+
+    best = stored(best_partners(pairs, BEST), f"{folder}/best")
+    links = confirmed(sets, best, threshold).unionByName(shared_ids(rows, classes))
+    found = components(stored(links, f"{folder}/links"), f"{folder}/first")
+    others = between_components(pairs.join(best.select("a", "b"), ["a", "b"], "left_anti"), found)
+    more = confirmed(sets, stored(others, f"{folder}/others"), threshold)
+    sketches = classes.select(F.col("head").alias("doc_id"), *_SKETCH)
+    chunks = unsettled(many, found, folder).join(sketches, "doc_id")
+    more = more.unionByName(chunk_links(chunks, sets, threshold, _SKETCH, unlike, CHUNK))
+    count = Observation()
+    more = stored(more.observe(count, F.count(F.lit(1)).alias("links")), f"{folder}/more")
+    if not count.get["links"]:
+        return found
+    known = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    return components(known.unionByName(more), f"{folder}/last")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (columns doc_id and text)."""
-    spark = docs.sparkSession
-    folder = work_folder(spark, "near")
+    folder = work_folder(docs.sparkSession, "near")
     docs = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
     rows = stored(docs.mapInArrow(_sketches, _SKETCH_ROWS), f"{folder}/sketches")
     linkable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # The class's smallest document stands for it; its bands come along.
     first = linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", *_SKETCH)).alias("first"))
-    classes = stored(first.select("digest", "first.*"), f"{folder}/classes")
-    found = _linked(docs, classes, folder, threshold, small)
-    # Ids with several sets connect the classes of all of them; their rows without a set follow them.
-    several = stored(_ids_of_several_sets(rows), f"{folder}/several")
-    is_several = not several.isEmpty()
-    if is_several:
-        meet = rows.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(
-            classes.select("digest", F.col("doc_id").alias("head")), "digest").where("doc_id <> head")
-        links = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(
-            meet.select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
-        found = components(stored(links, f"{folder}/meet"), f"{folder}/joined")
-    labels = classes.select("digest", F.col("doc_id").alias("head")).join(
-        found.withColumnRenamed("doc_id", "head"), "head", "left")
-    out = rows.join(labels, "digest", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "head")).alias("component_id"))
-    if is_several:
-        own = found.join(several, "doc_id", "left_semi").withColumnRenamed("component_id", "own")
-        out = out.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "own").alias("component_id"))
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    first = first.select("digest", F.col("first.doc_id").alias("head"), "first.bands", *[f"first.{s}" for s in _SKETCH])
+    classes = stored(first, f"{folder}/classes")
+    slim = rows.select("doc_id", "n_shingles", "digest")
+    found = _linked(docs, slim, classes, folder, threshold, small)
+    out = with_components(slim, classes, found).drop("digest")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_possible, mix, slices, stored, work_folder
 from .links import chunk_links, components, shared_ids, unsettled, with_components
-from .near_dedup import confirmed, full_sets, shingle_sets
+from .near_dedup import confirmed, shingle_sets
 
 # Similarity in percent.
 THRESHOLD = 80
@@ -43,6 +44,7 @@ COMMON_FROM = (2, 8, 32, 128, 512, 2048, 8192)
 # Shingles counted at once in a task, 8 bytes each.
 WINDOW = 1 << 22
 
+_FURTHER = [f"p{i}" for i in range(1, ORDERS)]
 _SEEDS = np.random.default_rng(20250412).integers(1 << 63, size=ORDERS, dtype=np.uint64)
 
 
@@ -109,51 +111,67 @@ def prefix_length(size: int, threshold: int) -> int:
     return size - -(-threshold * size // 100) + 1
 
 
-def prefixes(shingles: np.ndarray, table: np.ndarray, threshold: int) -> list[np.ndarray]:
+def prefixes(shingles: np.ndarray, table: np.ndarray, threshold: int, orders: int = ORDERS) -> list[np.ndarray]:
     """The first shingles under each order."""
     length = prefix_length(len(shingles), threshold)
     ranks = table[_cells(shingles)].astype(np.uint64) << np.uint64(60)
     firsts = []
-    for seed in _SEEDS:
+    for seed in _SEEDS[:orders]:
         order = ranks | (mix(shingles ^ seed) >> np.uint64(4))
         firsts.append(shingles[np.argpartition(order, length - 1)[:length]] if length < len(shingles) else shingles)
     return firsts
 
 
-def _prefix_rows(docs: DataFrame, table: np.ndarray, threshold: int) -> DataFrame:
-    """doc_id, key (a hash of its set), p0 and, as halves of hashes, p1, p2, ... of the documents that have a set."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def _arrays(columns: list[np.ndarray]) -> pa.ListArray:
+    ends = np.append(0, np.cumsum([len(c) for c in columns])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns).view(np.int64)))
 
+
+def _prefix_rows(docs: DataFrame, table: Broadcast, threshold: int) -> DataFrame:
+    """doc_id, key (a hash of its set) and the prefix under the first order of the documents that have a set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, keys, firsts = [], [], [[] for _ in range(ORDERS)]
+            ids, keys, firsts = [], [], []
             for doc_id, shingles in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"))):
                 if len(shingles):
                     ids.append(doc_id)
                     keys.append(int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True))
-                    for held, first in zip(firsts, prefixes(shingles, shared.value, threshold)):
-                        held.append(first)
-            if not ids:
-                continue
-            ends = pa.array(np.append(0, np.cumsum([len(f) for f in firsts[0]])).astype(np.int32))
-            first, *others = (np.concatenate(f) for f in firsts)
+                    firsts.append(prefixes(shingles, table.value, threshold, 1)[0])
+            if ids:
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()),
+                                                  "prefix": _arrays(firsts)})
+
+    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, key long, prefix array<long>")
+
+
+def _set_rows(docs: DataFrame, wanted: DataFrame, table: Broadcast, threshold: int) -> DataFrame:
+    """doc_id, shingles and the prefixes p1, p2, ... under the further orders of the documents in ``wanted``; other texts
+    are neither moved nor cut up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = list(shingle_sets(batch.column("text")))
+            firsts = [prefixes(shingles, table.value, threshold)[1:] if len(shingles) else [shingles] * (ORDERS - 1)
+                      for shingles in sets]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()),
-                "p0": pa.ListArray.from_arrays(ends, pa.array(first.view(np.int64))),
-                **{f"p{i}": pa.ListArray.from_arrays(ends, pa.array(o.astype(np.uint32).view(np.int32)))
-                   for i, o in enumerate(others, 1)}})
+                "doc_id": batch.column("doc_id"), "shingles": _arrays(sets),
+                **{name: _arrays([f[i] for f in firsts]) for i, name in enumerate(_FURTHER)}})
 
-    slim = ", ".join(f"p{i} array<int>" for i in range(1, ORDERS))
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, f"doc_id long, key long, p0 array<long>, {slim}")
+    wanted = wanted.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("digits"))
+    texts = keep_possible(docs.select("doc_id", "text", F.md5(F.col("doc_id").cast("string")).alias("digits")), wanted, "digits")
+    # Repeated rows once; the join has brought them together.
+    texts = texts.join(wanted, ["doc_id", "digits"], "left_semi").distinct().select("doc_id", "text")
+    further = ", ".join(f"{name} array<long>" for name in _FURTHER)
+    return texts.mapInArrow(run, f"doc_id long, shingles array<long>, {further}")
 
 
 def _buckets(firsts: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     """bucket, doc_id, n_shingles, members, leader: prefix shingles that different sets share, by the heads of classes."""
-    entries = firsts.select("doc_id", "key", F.explode("p0").alias("token"))
+    entries = firsts.select("doc_id", "key", F.explode("prefix").alias("token"))
     shared = entries.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
-    shared = stored(shared.select("token", F.hex("token").alias("digits")), f"{folder}/shared")
-    entries = keep_possible(entries.select("doc_id", "token", F.hex("token").alias("digits")), shared, "digits")
-    entries = entries.join(shared.select("token"), "token", "left_semi").select(F.col("token").alias("bucket"), "doc_id")
+    shared = stored(shared.select("token"), f"{folder}/shared")
+    digits = F.hex("token").alias("digits")
+    entries = keep_possible(entries.select("doc_id", "token", digits), shared.select(digits), "digits")
+    entries = entries.join(shared, "token", "left_semi").select(F.col("token").alias("bucket"), "doc_id")
     heads = classes.select(F.col("head").alias("doc_id"), "n_shingles")
     members = stored(entries.join(heads, "doc_id").distinct(), f"{folder}/entries")
     # Any member can lead; it differs between buckets, so that a document has many leaders over all its buckets.
@@ -179,16 +197,11 @@ def candidates(buckets: DataFrame, threshold: int, small: int) -> DataFrame:
     return few.unionByName(led).where(alike).select("a", "b").distinct()
 
 
-def sharing(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+def sharing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that share prefix shingles under the further orders as well."""
-    names = [f"p{i}" for i in range(1, ORDERS)]
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().select(
-        "doc_id", F.md5(F.col("doc_id").cast("string")).alias("digits"))
-    slim = firsts.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("digits"), *names)
-    slim = keep_possible(slim, wanted, "digits").drop("digits").distinct()
-    side = {x: slim.select(F.col("doc_id").alias(x), *[F.col(p).alias(f"{x}_{p}") for p in names]) for x in "ab"}
+    side = {x: sets.select(F.col("doc_id").alias(x), *[F.col(p).alias(f"{x}_{p}") for p in _FURTHER]) for x in "ab"}
     both = pairs.join(side["a"], "a").join(side["b"], "b")
-    for p in names:
+    for p in _FURTHER:
         both = both.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
     return both.select("a", "b").distinct()
 
@@ -203,16 +216,18 @@ def similar_documents(docs: DataFrame, threshold: int = THRESHOLD, small: int =
     docs = _documents(docs)
     sketches = stored(docs.mapInArrow(_sketches, _SKETCH_ROWS), f"{folder}/sketches")
     rows = sketches.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "digest")
-    table = class_table(sketches.where("token IS NOT NULL").select("token", "times"))
+    table = docs.sparkSession.sparkContext.broadcast(class_table(sketches.where("token IS NOT NULL").select("token", "times")))
     firsts = stored(_prefix_rows(docs, table, threshold), f"{folder}/prefixes")
     classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "n_shingles").agg(
         F.min("doc_id").alias("head"))
     classes = stored(classes, f"{folder}/classes")
     buckets = _buckets(firsts, classes, folder)
-    pairs = stored(sharing(candidates(buckets, threshold, small), firsts), f"{folder}/pairs")
+    pairs = stored(candidates(buckets, threshold, small), f"{folder}/candidates")
     large = buckets.where(F.col("members") > small).select("bucket", "doc_id")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select("doc_id")).distinct()
-    sets = stored(full_sets(docs, wanted).distinct(), f"{folder}/sets")
+    sets = stored(_set_rows(docs, wanted, table, threshold), f"{folder}/sets")
+    pairs = stored(sharing(pairs, sets), f"{folder}/pairs")
+    sets = sets.select("doc_id", "shingles")
     links = stored(confirmed(sets, pairs, threshold).unionByName(shared_ids(rows, classes)), f"{folder}/links")
     found = components(links, f"{folder}/first")
     rest = unsettled(large, found, folder)

@@ -3,12 +3,14 @@
 All words of the corpus are counted. Those that stay make two tries, of the words read forwards and backwards, stored as
 edges (node, letter, child); a node is the hash of what it spells. Two words that differ by one code point agree up to the
 middle of either from one of the two ends, so a word starts in both tries at the node of its first half (no node near a
-root, with its many children, is ever visited) and goes on from there. Its states (word, depth, node, goal) form a frontier
-that is joined with the edges level by level. A state without an edit either follows its word's next letter or makes the
-edit that the edge asks for, and from then on knows its goal, the one word it can still become; a state with an edit follows
-its goal. A state that has spelled its goal where a word ends is a neighbour. The join is keyed by node on both sides, and
-Spark splits a node that many words pass. Words of more than ``LONGEST`` code points would need as many levels; they
-meet by the hashes of themselves without each of their code points instead, which finds the same neighbours.
+root, with its many children, is ever visited) and goes on from there. Its states (word, node, goal) form a frontier that is
+joined with the edges of one depth after the other. A state without an edit either follows its word's next letter or makes
+the edit that an edge asks for, and from then on knows its goal, the one word it can still become; a state with an edit
+follows its goal. A state that has spelled its goal where a word ends is a neighbour. An edge also has 64 bits, one set for
+each ending that words have below it, by hash, so that most states whose goal is no word end where they are made. The join
+is keyed by node on both sides, and Spark splits a node that many words pass. Words of more than ``LONGEST`` code points
+would need as many levels; they meet by the hashes of themselves without each of their code points instead, which finds the
+same neighbours.
 
 Forms are followed to the last by pointer jumping; a form's count is ten times its word's, so chains are short.
 
@@ -59,92 +61,103 @@ def corpus_words(docs: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame
 
 # --- the tries --------------------------------------------------------------------------------------------------------
 
-def _node(text: Column, depth: Column, backwards: Column) -> Column:
-    return F.xxhash64(F.substring(text, F.lit(1), depth), backwards)
+def _node(text: Column, depth: Column | int, backwards: Column) -> Column:
+    return F.xxhash64(F.substring(text, F.lit(1), F.lit(depth)), backwards)
 
 
-def _letter(text: Column, at: Column) -> Column:
-    return F.substring(text, at + 1, F.lit(1))
+def _from(text: Column, at: Column | int) -> Column:
+    """What follows the first ``at`` code points."""
+    return F.substring(text, F.lit(at) + 1, F.lit(LONGEST + 1))
+
+
+def _letter(text: Column, at: Column | int) -> Column:
+    return F.substring(text, F.lit(at) + 1, F.lit(1))
+
+
+def _bit(ending: Column) -> Column:
+    return F.pmod(F.xxhash64(ending), F.lit(64)).cast("int")
 
 
 def _both_ways(words: DataFrame) -> DataFrame:
-    """word, text, backwards: each word as the two tries spell it."""
+    """text, backwards, size: each word as the two tries spell it."""
     ways = F.array(F.struct(F.col("word").alias("text"), F.lit(False).alias("backwards")),
                    F.struct(F.reverse("word").alias("text"), F.lit(True).alias("backwards")))
-    return words.select("word", F.inline(ways)).withColumn("size", F.char_length("text"))
+    return words.select(F.inline(ways)).withColumn("size", F.char_length("text"))
 
 
 def edges(words: DataFrame) -> DataFrame:
-    """node, letter, child, is_word: the lower halves of the two tries, where alone a frontier passes."""
+    """depth, node, letter, child, is_word, endings: the lower halves of the two tries, where alone a frontier passes."""
     size, depth = F.col("size"), F.col("depth")
     text, backwards = F.col("text"), F.col("backwards")
     steps = _both_ways(words).withColumn("depth", F.explode(F.sequence(((size - 1) / 2).cast("int"), size - 1)))
-    return (steps.select(_node(text, depth, backwards).alias("node"), _letter(text, depth).alias("letter"),
-                         _node(text, depth + 1, backwards).alias("child"), (depth + 1 == size).alias("is_word"))
-            .groupBy("node", "letter", "child").agg(F.max("is_word").alias("is_word")))
-
-
-_STATE = ("word", "text", "backwards", "depth", "node", "goal")
+    ending = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(_from(text, depth + 1)))
+    return (steps.select("depth", _node(text, depth, backwards).alias("node"), _letter(text, depth).alias("letter"),
+                         _node(text, depth + 1, backwards).alias("child"), (depth + 1 == size).alias("is_word"),
+                         ending.alias("ending"))
+            .groupBy("depth", "node", "letter", "child").agg(F.max("is_word").alias("is_word"), F.bit_or("ending").alias("endings")))
 
 
-def start(words: DataFrame) -> DataFrame:
-    """The states from which the words set out: forwards behind the first half, backwards behind the rest."""
+def start(words: DataFrame, depth: int) -> DataFrame:
+    """The states of the words that set out at ``depth``: forwards behind the first half, backwards behind the rest."""
     half = (F.col("size") / 2).cast("int")
     at = F.when(F.col("backwards"), F.col("size") - half).otherwise(half)
-    rows = _both_ways(words).withColumn("depth", at)
-    return rows.withColumn("node", _node(F.col("text"), at, F.col("backwards"))).withColumn(
-        "goal", F.lit(None).cast("string")).select(*_STATE)
+    return _both_ways(words).where(at == depth).select(
+        "text", "backwards", _node(F.col("text"), depth, F.col("backwards")).alias("node"), F.lit(None).cast("string").alias("goal"))
 
 
-def advance(frontier: DataFrame, trie: DataFrame) -> DataFrame:
-    """The states one level further down, with ``arrived`` where one has spelled its goal and a word ends there."""
-    text, depth, goal, letter = F.col("text"), F.col("depth"), F.col("goal"), F.col("letter")
+def advance(frontier: DataFrame, trie: DataFrame, depth: int) -> DataFrame:
+    """The states of ``frontier`` (text, backwards, node, goal) one level below ``depth``, with ``arrived`` where one has
+    spelled its goal and a word ends there."""
+    text, goal, letter, is_word = F.col("text"), F.col("goal"), F.col("letter"), F.col("is_word")
     size = F.char_length(text)
-    head, own, rest = (F.substring(text, F.lit(1), depth), _letter(text, depth), F.substring(text, depth + 2, size))
-    inside = depth < size
-    unedited, follows = goal.isNull(), letter == own
+    head, own = F.substring(text, F.lit(1), F.lit(depth)), _letter(text, depth)
+    # What is left behind the edge does not depend on it: after an exchange, an insertion and a deletion, or of the goal.
+    left = F.when(goal.isNull(), _bit(_from(text, depth + 1)) + 64 * _bit(_from(text, depth)) + 4096 * _bit(_from(text, depth + 2))
+                  ).otherwise(_bit(_from(goal, depth + 1)))
+    rows = frontier.withColumn("left", left).join(trie.where(F.col("depth") == depth).drop("depth"), "node")
 
-    def to(condition: Column, goal: Column, arrived: Column) -> Column:
-        return F.when(condition, F.struct(goal.alias("goal"), arrived.alias("arrived")))
+    def ends(way: int) -> Column:
+        return F.getbit(F.col("endings"), F.shiftright("left", 6 * way).bitwiseAND(63)) == 1
 
-    def edited(condition: Column, goal: Column) -> Column:
-        return to(condition, goal, (F.char_length(goal) == depth + 1) & F.col("is_word"))
+    def to(goal: Column, arrived: Column) -> Column:
+        return F.struct(goal.alias("goal"), arrived.alias("arrived"))
 
-    none = F.lit(None).cast("string")
-    differs = unedited & (~inside | ~follows)
+    def edited(goal: Column) -> Column:
+        return to(goal, (F.char_length(goal) == depth + 1) & is_word)
+
+    plain, inside, follows = goal.isNull(), size > depth, letter == own
+    along, off = plain & inside & follows, plain & ~(inside & follows)
     moves = F.array(
-        # Without an edit along the own letter.
-        to(unedited & inside & follows, none, F.lit(False)),
-        # The own word without its last letter ends here.
-        to(unedited & inside & follows & (depth + 2 == size) & F.col("is_word"), F.substring(text, F.lit(1), depth + 1),
-           F.lit(True)),
-        # The edge's letter in place of the own one, in front of it, or behind it with the own one left out.
-        edited(differs & inside, F.concat(head, letter, rest)),
-        edited(differs, F.concat(head, letter, own, rest)),
-        edited(differs & (depth + 1 < size) & (letter == _letter(text, depth + 1)), F.concat(head, rest)),
-        edited(goal.isNotNull() & (letter == _letter(goal, depth)), goal))
-    moved = frontier.join(trie, "node").select(
-        "word", "text", "backwards", (depth + 1).alias("depth"), F.col("child").alias("node"), F.explode(moves).alias("move"))
-    moved = moved.where("move IS NOT NULL").select("word", "text", "backwards", "depth", "node", "move.goal", "move.arrived")
+        # Along the own letter; with the edge's letter in place of it; or along the goal.
+        F.when(along, to(F.lit(None).cast("string"), F.lit(False)))
+        .when(off & inside & ends(0), edited(F.concat(head, letter, _from(text, depth + 1))))
+        .when(~plain & (letter == _letter(goal, depth)) & ends(0), edited(goal)),
+        # The own word without its last letter ends here; or with the edge's letter in front of the own one.
+        F.when(along & (size == depth + 2) & is_word, to(F.concat(head, letter), F.lit(True)))
+        .when(off & ends(1), edited(F.concat(head, letter, _from(text, depth)))),
+        # Without the own letter.
+        F.when(off & inside & (letter == _letter(text, depth + 1)) & ends(2), edited(F.concat(head, _from(text, depth + 1)))))
+    moved = rows.select("text", "backwards", F.col("child").alias("node"), F.explode(moves).alias("move"))
+    moved = moved.where("move IS NOT NULL").select("text", "backwards", "node", "move.goal", "move.arrived")
     # A goal that is spelled but no word leads nowhere.
-    return moved.where(F.col("arrived") | F.col("goal").isNull() | (F.char_length("goal") > F.col("depth")))
-
-
-def trie_neighbours(words: DataFrame, folder: str) -> DataFrame:
-    """word, near: all words within one edit of each other, of words up to ``LONGEST`` code points."""
-    trie = stored(edges(words), f"{folder}/edges")
-    frontier, found = start(words), None
-    # The longest half has one letter more than half of LONGEST, and an insertion behind the end adds a level.
-    for level in range(LONGEST // 2 + 2):
-        left = Observation()
-        moved = advance(frontier, trie).observe(left, F.count_if(~F.col("arrived")).alias("states"))
-        moved = stored(moved, f"{folder}/level{level}")
-        arrived = moved.where("arrived").select(
-            "word", F.when(F.col("backwards"), F.reverse("goal")).otherwise(F.col("goal")).alias("near"))
-        found = arrived if found is None else found.unionByName(arrived)
-        if not left.get["states"]:
-            break
-        frontier = moved.where("NOT arrived").select(*_STATE)
+    return moved.where(F.col("arrived") | F.col("goal").isNull() | (F.char_length("goal") > depth + 1))
+
+
+def _as_word(text: str) -> Column:
+    return F.when(F.col("backwards"), F.reverse(text)).otherwise(F.col(text))
+
+
+def trie_neighbours(words: DataFrame, shortest: int, longest: int, folder: str) -> DataFrame:
+    """word, near: all words within one edit of each other; they have ``shortest`` to ``longest`` code points."""
+    # By depth within each file, so that a level reads only its own edges.
+    trie = stored(edges(words).sortWithinPartitions("depth"), f"{folder}/edges")
+    before, found = None, words.select("word", F.lit(None).cast("string").alias("near")).limit(0)
+    for depth in range(shortest // 2, longest):
+        frontier = start(words, depth)
+        frontier = frontier if before is None else frontier.unionByName(before)
+        moved = stored(advance(frontier, trie, depth), f"{folder}/level{depth}")
+        found = found.unionByName(moved.where("arrived").select(_as_word("text").alias("word"), _as_word("goal").alias("near")))
+        before = moved.where("NOT arrived").drop("arrived")
     return found
 
 
@@ -197,13 +210,16 @@ def follow(forms: DataFrame, folder: str) -> DataFrame:
 def variants(words: DataFrame, dominance: int = DOMINANCE) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word in ``words`` (columns word, distinct, and n)."""
     folder = work_folder(words.sparkSession, "spelling")
-    many = Observation()
-    sized = words.withColumn("size", F.char_length("word")).observe(many, F.count_if(F.col("size") > LONGEST).alias("long"))
-    sized = stored(sized, f"{folder}/words")
-    words = sized.select("word", "n")
-    near = trie_neighbours(sized.where(F.col("size") <= LONGEST).select("word"), folder)
-    if many.get["long"]:
-        near = near.unionByName(stored(long_neighbours(sized.where(F.col("size") >= LONGEST)), f"{folder}/long"))
+    sizes = Observation()
+    size = F.char_length("word")
+    short = size <= LONGEST
+    words = words.select("word", "n")
+    words = stored(words.observe(sizes, F.min(size).alias("least"), F.max(F.when(short, size)).alias("longest"),
+                                 F.count_if(~short).alias("long")), f"{folder}/words")
+    least, longest, long = (sizes.get.get(name) or 0 for name in ("least", "longest", "long"))
+    near = trie_neighbours(words.where(short).select("word"), least, longest, folder)
+    if long:
+        near = near.unionByName(stored(long_neighbours(words.where(size >= LONGEST)), f"{folder}/long"))
     counted = near.distinct().join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     # The most frequent one first; of equal ones the first in the order of code points, which is that of UTF-8 bytes.
     best = counted.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"),

@@ -1,13 +1,11 @@
-"""The n-gram join, its orders, and components, against brute force and DuckDB."""
+"""The n-gram join, its orders, and components, against brute force."""
 
 import random
 
-import duckdb
 import numpy as np
 import pyarrow as pa
-from conftest import TESTDATA
 
-from loanloom.llm import links, near_dedup, ngram_join, queries
+from loanloom.llm import links, near_dedup, ngram_join
 
 
 def set_of(text, words=5):
@@ -138,11 +136,3 @@ def test_chunks_connect_what_is_linked(spark):
     assert dict(zip(ids.tolist(), least.tolist())) == {i: c for i, c in expected.items()
                                                        if list(expected.values()).count(c) > 1}
     assert found.num_rows < len(docs)
-
-
-def test_query_against_duckdb(spark):
-    directory = f"{TESTDATA}/sf0.001"
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{directory}/documents.parquet'")
-    expected = sorted(con.execute(queries.ORACLE_SQL["op12_ngram_join"]).fetchall(), key=str)
-    assert sorted_rows(queries.op12_ngram_join(spark, directory)) == expected

@@ -464,8 +464,8 @@ def test_statements(spark, name):
     expected = connection.sql(queries.ORACLE_SQL[name])
     assert sorted(actual.columns) == sorted(expected.columns)
     columns = ", ".join(sorted(actual.columns))
-    assert sorted(map(tuple, actual.select(sorted(actual.columns)).collect())) == sorted(
-        expected.project(columns).fetchall())
+    assert sorted(map(tuple, actual.select(sorted(actual.columns)).collect()), key=str) == sorted(
+        expected.project(columns).fetchall(), key=str)
 
 
 def test_pipeline(spark, documents):
