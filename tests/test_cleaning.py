@@ -1,7 +1,7 @@
 from conftest import dicts, plan_of
 from pyspark.sql import functions as F
 
-from loanloom.operators.dedup import first_per_key, latest_per_key
+from loanloom.operators.dedup import first_per_key, latest_per_key, row_locator
 from loanloom.plans import cleaning
 from loanloom.sources.schemas import APPLICATION, BUREAU, CARD, INSTALLMENTS, POS, PREVIOUS
 
@@ -96,6 +96,37 @@ def test_ties_are_settled_by_content(spark):
     assert results[0] == results[1] == results[2] and len(results[0]) == 100
 
 
+def test_ties_are_settled_by_place_in_the_files(spark, tmp_path):
+    """Whatever the splits, the shuffle and the columns that are read: the first row in the files' order of locators."""
+    spark.range(6000).select((F.col("id") % 100).alias("k"), F.lit(1).alias("d"), F.col("id").alias("v")).repartition(
+        3).write.parquet(f"{tmp_path}/rows")
+    results, settings = [], {"spark.sql.files.maxPartitionBytes": ("128m", "4k", "16k"), "spark.sql.shuffle.partitions": ("1", "7", "3")}
+    before = {key: spark.conf.get(key) for key in settings}
+    for i in range(3):
+        for key, values in settings.items():
+            spark.conf.set(key, values[i])
+        results.append(sorted(latest_per_key(spark.read.parquet(f"{tmp_path}/rows"), "k", "d").collect()))
+    for key, value in before.items():
+        spark.conf.set(key, value)
+    assert results[0] == results[1] == results[2] and len(results[0]) == 100
+    # The same rows survive if only the key is read.
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert sorted(r.k for r in latest_per_key(rows, "k", "d").select("k").collect()) == list(range(100))
+    assert "v#" not in plan_of(latest_per_key(rows, "k", "d").select("k"))
+
+
+def test_only_rows_of_files_have_a_locator(spark, tmp_path):
+    spark.range(10).selectExpr("id", "id % 3 AS k").write.parquet(f"{tmp_path}/rows")
+    spark.range(10).write.csv(f"{tmp_path}/text")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    for plan in (rows, rows.filter("k > 0"), rows.select("k"), rows.withColumn("x", F.lit(1)).filter("x = 1")):
+        assert row_locator(plan) is not None
+    for plan in (rows.filter("k > 0").alias("r"), rows.distinct(), rows.union(rows), rows.join(rows.withColumnRenamed("id", "i"), "k"), rows.repartition(2),
+                 rows.select("k", F.explode(F.array("id", "id"))), spark.read.csv(f"{tmp_path}/text"), spark.range(3)):
+        assert row_locator(plan) is None
+        first_per_key(plan, plan.columns[0]).collect()
+
+
 def test_hot_key(spark):
     # A third of the rows share one key.
     rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"),

@@ -62,6 +62,21 @@ def test_scans_read_only_what_is_needed(raw_files):
         "SK_ID_CURR", "SK_ID_PREV", "AMT_INSTALMENT", "DAYS_INSTALMENT", "DAYS_ENTRY_PAYMENT"}
 
 
+@pytest.mark.parametrize("name, columns", [
+    ("status_distribution", {"SK_ID_CURR", "SK_ID_PREV", "DAYS_DECISION", "NAME_CONTRACT_STATUS"}),
+    ("default_by_dti", {"SK_ID_CURR", "TARGET", "AMT_CREDIT", "AMT_INCOME_TOTAL"}),
+    ("bureau_minima", {"SK_ID_CURR", "SK_ID_BUREAU", "DAYS_CREDIT_UPDATE", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT",
+                       "AMT_CREDIT_MAX_OVERDUE"})])
+def test_deduplication_reads_only_what_is_needed(raw_files, name, columns):
+    plan = plan_of({"status_distribution": lambda p: reports.status_distribution(p.cleaned("previous_application")),
+                    "default_by_dti": lambda p: reports.default_by_dti(p.customer_risk_features),
+                    "bureau_minima": lambda p: reports.bureau_minima(p.cleaned("bureau"))}[name](raw_files))
+    schema, = re.findall(r"ReadSchema: struct<(.*?)>", plan)
+    # The number of a row in its file is made by the reader.
+    assert {column.split(":")[0] for column in schema.split(",")} - {"_tmp_metadata_row_index"} == columns
+    assert "WindowGroupLimit" in plan
+
+
 def test_reports_skip_the_joins_they_do_not_need(raw_files):
     for report in (reports.default_by_dti, reports.default_by_employment):
         plan = plan_of(report(raw_files.customer_risk_features))
