@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loanloom.functions.fixed_point import amount, exact_mean, exact_sum
+
+# Decimals an amount of money carries at most.
+MONEY_PLACES = 4
+
 
 def round_half_away(value: Column, places: int) -> Column:
     """``value`` to ``places`` decimals, ties away from zero."""
@@ -31,20 +36,22 @@ def round_half_away_rows(value: Column, places: int) -> Column:
 def rounded_mean(value: Column, value_places: int, places: int | None = None, percent: bool = False) -> Column:
     """Mean of values that have ``value_places`` decimals, to ``places`` decimals (default: as many), maybe times 100.
 
-    The values are added as whole units of their last place. Sums of whole numbers are exact in a double (up to 2^53),
-    so the mean does not depend on the order of the rows, and a tie is seen as a tie.
+    The values are added as whole units of their last place, so the mean does not depend on the order of the rows, and
+    a tie is seen as a tie.
     """
-    places = value_places if places is None else places
-    mean = F.avg(F.rint(value * 10.0 ** value_places))
-    dropped = value_places - places - (2 if percent else 0)
-    if dropped:
-        mean = mean / 10.0 ** dropped
-    return F.round(mean, 0) / 10.0 ** places
+    return exact_mean(value, value_places, value_places if places is None else places, percent)
 
 
-def money_sum(amount: Column) -> Column:
-    """Sum of amounts with NULL as 0, settled to four places.
+def money_total(value: Column) -> Column:
+    """Exact sum of amounts, to be scaled before ``money`` turns it into a double."""
+    return exact_sum(value, MONEY_PLACES)
 
-    Amounts carry at most four decimals, so this removes only the noise that the order of addition leaves behind.
-    """
-    return round_half_away(F.sum(F.coalesce(amount, F.lit(0.0))), 4)
+
+def money(total: Column, times: Column | None = None) -> Column:
+    """A ``money_total``, or a whole multiple of it, as a double; NULL if no amount was added."""
+    return amount(total, MONEY_PLACES, times)
+
+
+def money_sum(value: Column) -> Column:
+    """Sum of amounts, 0 without any, exact to four places whatever the order of the rows."""
+    return F.coalesce(money(money_total(value)), F.lit(0.0))

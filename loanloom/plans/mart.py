@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.functions.bands import age_band, employment_band, income_band
-from loanloom.functions.rounding import money_sum, round_half_away, round_half_away_rows, rounded_mean
+from loanloom.functions.rounding import money, money_sum, money_total, round_half_away, round_half_away_rows, rounded_mean
 from loanloom.operators.aggregates import count_where, max_or_zero, percentage, row_count
 
 MONTHS_PER_YEAR = 12
@@ -137,8 +137,8 @@ def _loan_activity(installments: DataFrame, pos: DataFrame) -> DataFrame:
                  F.sum("late").alias("late"),
                  F.avg("days_late").alias("mean_days_late"),
                  F.max("days_late").alias("max_days_late"),
-                 F.sum("scheduled").alias("scheduled"),
-                 F.sum("paid").alias("paid"),
+                 money_total(F.col("scheduled")).alias("scheduled"),
+                 money_total(F.col("paid")).alias("paid"),
                  F.count("month").alias("months"),
                  F.max("dpd").alias("dpd"),
                  F.sum("delinquent").alias("delinquent"))
@@ -157,8 +157,8 @@ def fact_payment_history(installments: DataFrame, pos: DataFrame, inflate: bool
     per_instalment = F.greatest(F.col("months"), F.lit(1)) if inflate else F.lit(1)
     per_month = F.col("due") if inflate else F.lit(1)
 
-    def money(total: str) -> Column:
-        return round_half_away_rows(F.coalesce(F.col(total), F.lit(0.0)) * per_instalment, 4)
+    def total(column: str) -> Column:
+        return F.coalesce(money(F.col(column), per_instalment), F.lit(0.0))
 
     totals = loans.select(
         "CUSTOMER_ID", "PREV_LOAN_ID",
@@ -167,8 +167,8 @@ def fact_payment_history(installments: DataFrame, pos: DataFrame, inflate: bool
         percentage(F.col("late"), F.col("due"), 4, round_half_away_rows).alias("MISSED_PAYMENT_RATIO"),
         round_half_away_rows(F.col("mean_days_late"), 2).alias("AVG_DAYS_LATE"),
         F.col("max_days_late").alias("MAX_DAYS_LATE"),
-        money("scheduled").alias("TOTAL_SCHEDULED"),
-        money("paid").alias("TOTAL_PAID"),
+        total("scheduled").alias("TOTAL_SCHEDULED"),
+        total("paid").alias("TOTAL_PAID"),
         F.coalesce(F.col("dpd"), F.lit(0)).alias("MAX_DPD"),
         (F.coalesce(F.col("delinquent"), F.lit(0)) * per_month).alias("DELINQUENT_MONTHS"))
     return totals.select(

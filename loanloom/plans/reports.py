@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.functions.bands import default_history
-from loanloom.functions.rounding import round_half_away, rounded_mean
+from loanloom.functions.rounding import money, money_total, round_half_away, rounded_mean
 from loanloom.operators.aggregates import mean_percentage, percentage, row_count, share_of_total
 from loanloom.plans.scoring import HIGH_RISK, MEDIUM_RISK
 
@@ -122,12 +122,17 @@ def _mean_score() -> Column:
     return round_half_away(F.avg("RISK_SCORE"), 2).alias("avg_risk_score")
 
 
+def _exposure() -> Column:
+    """Loan amounts in millions, from an exact sum."""
+    return money(money_total(F.col("LOAN_AMOUNT"))) / MILLION
+
+
 def risk_distribution(scores: DataFrame) -> DataFrame:
     """Size, exposure, mean score and defaults of each risk category, highest risk first."""
     category = F.col("RISK_CATEGORY")
     groups = scores.groupBy(category).agg(
         row_count().alias("customers"),
-        round_half_away(F.sum("LOAN_AMOUNT") / MILLION, 2).alias("exposure_millions"),
+        round_half_away(_exposure(), 2).alias("exposure_millions"),
         _mean_score(),
         F.sum("DEFAULT_FLAG").alias("actual_defaults_caught"))
     return (share_of_total(groups, "customers", "pct_of_portfolio")
@@ -143,7 +148,7 @@ def portfolio_default_rate(scores: DataFrame) -> DataFrame:
 
 def risk_concentration(scores: DataFrame) -> DataFrame:
     """Exposure and expected loss of each risk category, largest exposure first."""
-    exposure, rate = F.sum("LOAN_AMOUNT") / MILLION, F.avg("DEFAULT_FLAG")
+    exposure, rate = _exposure(), F.avg("DEFAULT_FLAG")
     return (scores.groupBy("RISK_CATEGORY")
             .agg(row_count().alias("customers"),
                  round_half_away(exposure, 2).alias("total_exposure_millions"),

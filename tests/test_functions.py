@@ -2,12 +2,13 @@ import math
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
+from conftest import plan_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loanloom.functions import bands, rules
-from loanloom.functions.rounding import money_sum, round_half_away, round_half_away_rows, rounded_mean
+from loanloom.functions.rounding import money, money_sum, money_total, round_half_away, round_half_away_rows, rounded_mean
 from loanloom.operators.aggregates import percentage, share_of_total
 
 
@@ -95,3 +96,33 @@ def test_shares_add_up(spark):
     groups = spark.createDataFrame([("a", 1), ("b", 2), (None, 5)], "g string, n bigint")
     shares = {r.g: r.share for r in share_of_total(groups, "n", "share").collect()}
     assert shares == {"a": 12.5, "b": 25.0, None: 62.5}
+
+
+def test_money_adds_up_in_any_order(spark):
+    """A million amounts of about 1e9 with four places: the exact total, with the same bits in every partitioning."""
+    rows = spark.range(1_000_000).select((F.col("id") % 7).alias("g"), (
+        F.lit(1e9) + F.col("id") + (F.pmod(F.hash("id"), F.lit(10_000))) / 1e4).alias("x"), F.pmod(F.hash("id"), F.lit(10_000)).alias("u"))
+    units = sum((10 ** 9 + i) * 10 ** 4 for i in range(1_000_000)) + rows.agg(F.sum("u")).first()[0]
+    totals = set()
+    for plan in (rows.repartition(1), rows.repartition(5), rows.repartition(16, "x"), rows.orderBy(F.desc("x"))):
+        total = plan.agg(money_sum(F.col("x")), money(money_total(F.col("x")), F.lit(3)), rounded_mean(F.col("x"), 4)).first()
+        totals.add(tuple(v.hex() for v in total))
+        assert total[0] == units / 10 ** 4 and total[1] == 3 * units / 10 ** 4
+        assert total[2] == ((2 * units + 10 ** 6) // (2 * 10 ** 6)) / 10 ** 4
+    assert len(totals) == 1
+    grouped = rows.groupBy("g").agg(money_sum(F.col("x")).alias("x"))
+    assert "HashAggregate" in plan_of(grouped) and "SortAggregate" not in plan_of(grouped)
+
+
+def test_sums_and_means_of_odd_values(spark):
+    def of(*values):
+        rows = spark.createDataFrame([(v,) for v in values], "x double")
+        return tuple(rows.agg(money_sum(F.col("x")), money(money_total(F.col("x"))), rounded_mean(F.col("x"), 4),
+                              rounded_mean(F.col("x"), 4, places=2), rounded_mean(F.col("x"), 4, places=2, percent=True)).first())
+    assert of() == of(None) == (0.0, None, None, None, None)
+    assert of(-0.1, 0.3, None) == (0.2, 0.2, 0.1, 0.1, 10.0)
+    assert of(0.005, 0.015) == (0.02, 0.02, 0.01, 0.01, 1.0)
+    assert of(0.0049, 0.0051)[3] == 0.01 and of(-0.0049, -0.0051)[3] == -0.01
+    assert of(1e300, 1.0)[:2] == (1e300, 1e300) and of(1e300)[2] == 1e300
+    assert of(float("inf"), 1.0)[0] == float("inf")
+    assert of(float("nan"), 1.0)[0] != of(float("nan"), 1.0)[0]
