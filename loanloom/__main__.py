@@ -1,8 +1,9 @@
 """Command line: ``python -m loanloom rebuild --csv DIR`` and ``python -m loanloom report NAME``.
 
 Run it with ``spark-submit`` or any configured PySpark; settings of the cluster (master, catalog, memory) come from
-there. ``--root`` is the shared folder of the layers; without it they go to the warehouse folder of the session. The
-``report`` command needs a catalog that outlives the session (e.g. a Hive metastore).
+there. ``--root`` is the shared folder of the layers; without it they go to the warehouse folder of the session, and
+``--prefix`` tells several portfolios in one catalog apart. The commands ``report`` and ``counts`` need a catalog that
+outlives the session (e.g. a Hive metastore).
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import SparkSession
 
 from loanloom.plans import reports
 from loanloom.plans.portfolio import StoredPortfolio
-from loanloom.plans.rebuild import rebuild
-from loanloom.sources.csv import read_raw_csv
+from loanloom.plans.expectations import GENERAL, PUBLISHED
+from loanloom.plans.rebuild import build, load_csv, stored_metrics
 from loanloom.sources.layers import Layers
 from loanloom.sources.schemas import BUREAU, CARD, INSTALLMENTS, POS, PREVIOUS, RAW_TABLES
 
@@ -50,22 +51,29 @@ def csv_paths(directory: str, suffixes: dict[str, str]) -> dict[str, str]:
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="loanloom")
     parser.add_argument("--root", help="shared folder of the layers")
+    parser.add_argument("--prefix", default="", help="put before the names of the layers")
     commands = parser.add_subparsers(dest="command", required=True)
-    build = commands.add_parser("rebuild", help="load the raw CSV files and rebuild every table")
-    build.add_argument("--csv", required=True, help="folder with one CSV file per raw table")
-    build.add_argument("--gzip", nargs="*", default=[], choices=RAW_TABLES, help="tables stored as .csv.gz")
+    command = commands.add_parser("rebuild", help="load the raw CSV files and rebuild every table")
+    command.add_argument("--csv", required=True, help="folder with one CSV file per raw table")
+    command.add_argument("--gzip", nargs="*", default=[], choices=RAW_TABLES, help="tables stored as .csv.gz")
+    command.add_argument("--rejects", type=int, default=0, help="records of a table that may hold values of a wrong type")
+    command.add_argument("--published", action="store_true", help="expect the figures of the published data set")
+    commands.add_parser("counts", help="print what was observed while the stored tables were written")
     show = commands.add_parser("report", help="print a report from the stored tables")
     show.add_argument("name", choices=sorted(REPORTS))
     options = parser.parse_args(arguments)
 
     spark = SparkSession.builder.appName("loanloom").getOrCreate()
-    layers = Layers(spark, options.root)
+    layers = Layers(spark, options.root, options.prefix)
     if options.command == "rebuild":
-        paths = csv_paths(options.csv, {table: ".gz" for table in options.gzip})
-        stored = rebuild(layers, lambda table: read_raw_csv(spark, paths[table], table))
-        REPORTS["risk_distribution"](stored).show(truncate=False)
-    else:
+        expectations = (*GENERAL, *(PUBLISHED if options.published else ()))
+        load_csv(layers, csv_paths(options.csv, {table: ".gz" for table in options.gzip}), options.rejects, expectations)
+        REPORTS["risk_distribution"](build(layers, expectations)).show(truncate=False)
+    if options.command == "report":
         REPORTS[options.name](StoredPortfolio(layers)).show(n=reports.TOP_CUSTOMERS, truncate=False)
+    else:
+        for (layer, table), metrics in stored_metrics(layers).items():
+            print(f"{layer}.{table}: {', '.join(f'{name} {value}' for name, value in metrics.items())}")
 
 
 if __name__ == "__main__":
