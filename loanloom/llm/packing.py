@@ -1,10 +1,11 @@
 """Pack documents into sequences of fixed length by cutting-stock column generation.
 
-A document's ids are cut into full pieces of ``CAPACITY`` and one shorter tail. Piece lengths are rounded up to classes of
-``UNIT`` ids, and the histogram over classes (at most ``CAPACITY / UNIT`` numbers, whatever the input's size) goes to the
-driver: a linear program over patterns, i.e. ways to fill one sequence. New patterns come from a knapsack solved by
-dynamic programming over the program's prices, until a bound shows that no more than ``GAP`` can be gained. The solution is
-rounded down, and first-fit decreasing packs the few classes left over.
+A document's ids are cut into full pieces of ``CAPACITY`` and one shorter tail. The histogram over classes of lengths (at
+most some 200 numbers, whatever the input's size) goes to the driver: a linear program over patterns, i.e. ways to fill one
+sequence. New patterns come from a knapsack solved by dynamic programming over the program's prices, until a bound shows
+that no more than ``GAP`` can be gained. The solution is rounded down, and first-fit decreasing packs the few classes left
+over. Lengths up to ``SHORT`` are classes of their own: short pieces are first packed into bundles of ``BUNDLE`` ids by the
+same program, and bundles then count as pieces. Longer ones are rounded up to ``UNIT`` ids, above 512 to twice that.
 
 Each piece then finds its place from its rank within its class: ranks are counted in the encoding tasks, and counts per
 task and class put tasks in order, so no task ever sorts a whole class. Patterns own ranges of ranks, so a binary search
@@ -30,7 +31,8 @@ from .token_files import with_end
 from .tokens import encoder
 
 CAPACITY = 2048
-UNIT = 16
+UNIT = 8
+SHORT, BUNDLE = 64, 256
 # Column generation ends once the bound shows that at most this share of sequences could still be saved.
 GAP = 0.001
 
@@ -49,14 +51,20 @@ def cut(offsets: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.n
     return document, start, np.minimum(capacity, tokens[document] - start)
 
 
+def length_classes(lengths: np.ndarray, unit: int = UNIT) -> np.ndarray:
+    """The room that pieces take: their class."""
+    step = np.where(lengths > 512, 2 * unit, unit)
+    return np.where(lengths <= SHORT, lengths, -(-lengths // step) * step)
+
+
 def _pieces(path: str, end: int, capacity: int, unit: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(path), TaskContext.get().partitionId()
-        ranks = np.zeros(capacity // unit + 1, np.int64)
+        ranks = np.zeros(capacity + 2 * unit, np.int64)
         for batch in slices(batches):
             ids, offsets = with_end(*own.encode(batch.column("text")), end)
             document, start, length = cut(offsets, capacity)
-            kind = -(-length // unit)
+            kind = np.minimum(length_classes(length, unit), capacity)
             order = np.argsort(kind, kind="stable")
             counts = np.bincount(kind, minlength=len(ranks))
             within = np.empty(len(kind), np.int64)
@@ -175,17 +183,46 @@ def _ranges(sizes: np.ndarray, chosen: list[tuple[np.ndarray, int]]) -> dict[int
     return {size: np.array(rows, np.int64) for size, rows in table.items()}
 
 
-def _assign(ranges: dict[int, np.ndarray]):
+def _found(rows: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The sequence, or bundle, of each rank of one class."""
+    own = rows[np.searchsorted(rows[:, 0], rank, "right") - 1]
+    return own[:, 1] + (rank - own[:, 0]) // own[:, 2]
+
+
+class Layout:
+    """Which sequence each piece lies in, by class and rank."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT, gap: float = GAP):
+        sizes = np.array(sorted(histogram), np.int64)
+        demand = np.array([histogram[int(s)] for s in sizes], np.int64)
+        short = (sizes <= SHORT) & (capacity % BUNDLE == 0)
+        bundles = plan(sizes[short], demand[short], BUNDLE, gap)
+        self.bundled = _ranges(sizes[short], bundles)
+        # Bundles rank behind the pieces of their size.
+        self.first_bundle = int(histogram.get(BUNDLE, 0))
+        long = {int(s): int(d) for s, d in zip(sizes[~short], demand[~short])}
+        if count := sum(times for _, times in bundles):
+            long[BUNDLE] = self.first_bundle + count
+        sizes = np.array(sorted(long), np.int64)
+        by = int(np.gcd.reduce(np.append(sizes, capacity)))
+        chosen = plan(sizes // by, np.array([long[int(s)] for s in sizes], np.int64), capacity // by, gap)
+        self.ranges = _ranges(sizes, chosen)
+
+    def sequences(self, kind: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        sequence = np.empty(len(rank), np.int64)
+        for k in np.unique(kind).tolist():
+            at, size = np.flatnonzero(kind == k), k
+            found = rank[at]
+            if k in self.bundled:
+                found, size = self.first_bundle + _found(self.bundled[k], found), BUNDLE
+            sequence[at] = _found(self.ranges[size], found)
+        return sequence
+
+
+def _assign(layout: Layout):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.column("class").to_numpy()
-            rank = batch.column("rank").to_numpy()
-            sequence = np.empty(len(rank), np.int64)
-            for k in np.unique(kind):
-                at = np.flatnonzero(kind == k)
-                rows = ranges[int(k)]
-                found = rows[np.searchsorted(rows[:, 0], rank[at], "right") - 1]
-                sequence[at] = found[:, 1] + (rank[at] - found[:, 0]) // found[:, 2]
+            sequence = layout.sequences(batch.column("class").to_numpy(), batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence)],
                                              names=[*batch.schema.names, "sequence_id"])
     return assign
@@ -195,17 +232,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataF
     """Give each stored piece its sequence_id and offset. The columns are those of ``PIECES``."""
     counts = pieces.groupBy("part", "class").agg(F.count(F.lit(1)).alias("pieces"))
     histogram = {r["class"]: r["pieces"] for r in counts.groupBy("class").agg(F.sum("pieces").alias("pieces")).collect()}
-    sizes = np.array(sorted(histogram), np.int64)
-    chosen = plan(sizes, np.array([histogram[s] for s in sizes]), capacity // unit)
     earlier = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", "class", F.coalesce(F.sum("pieces").over(earlier), F.lit(0)).alias("before"))
     ranked = pieces.join(before, ["part", "class"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "class",
         (F.col("before") + F.col("own_rank")).alias("rank"))
-    placed = ranked.mapInArrow(_assign(_ranges(sizes, chosen)),
+    placed = ranked.mapInArrow(_assign(Layout(histogram, capacity, unit)),
                                "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, "
                                "rank long, sequence_id long")
-    # A sequence has at most capacity / unit pieces of different ranks and classes.
+    # A sequence has at most ``capacity`` pieces, of different ranks or classes.
     within = (Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank")
               .rowsBetween(Window.unboundedPreceding, -1))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
