@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,18 +24,41 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 # --- work folders -----------------------------------------------------------------------------------------------------
 
+SHARED = "spark.checkpoint.dir"
+
+
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="loanloom-")
+    folder = tempfile.mkdtemp(prefix="loanloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or, where that is unset (one
-    machine, as in tests), below a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new folder that driver and executors share, below the one that ``spark.checkpoint.dir`` names. Where that is unset
+    and all tasks run in the driver's process, as in tests, it lies below a temporary folder that goes with the process; on a
+    cluster each executor would write to its own disk there, so that is an error."""
+    shared = spark.conf.get(SHARED, None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{SHARED} is not set: it must name a folder that driver and executors share")
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/loanloom-{purpose}-{uuid.uuid4().hex}"
 
 
+def finished(rows: DataFrame, folder: str) -> DataFrame:
+    """Store ``rows`` in a work folder and remove everything else there: the tables that lead to them are read no more."""
+    result = stored(rows, f"{folder}/result")
+    context = rows.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    for status in files.listStatus(path):
+        if status.getPath().getName() != "result":
+            files.delete(status.getPath(), True)
+    return result
+
+
 def stored(rows: DataFrame, path: str) -> DataFrame:
     """Write ``rows`` as Parquet and return the written table: lineage ends here, lost executors cost no recomputation."""
     rows.write.parquet(path)

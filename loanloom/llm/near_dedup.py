@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import keep_possible, lower_ascii, mix, range_hashes, slices, stored, text_arrays, word_ranges, work_folder
+from .common import (finished, keep_possible, lower_ascii, mix, range_hashes, slices, stored, text_arrays, word_ranges,
+                     work_folder)
 from .links import chunk_links, components, shared_ids, unsettled, with_components
 
 WORDS = 5
@@ -247,7 +248,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, small: int = SM
     slim = rows.select("doc_id", "n_shingles", "digest")
     found = _linked(docs, slim, classes, folder, threshold, small)
     out = with_components(slim, classes, found).drop("digest")
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return finished(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), folder)
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

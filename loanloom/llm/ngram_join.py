@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_possible, mix, slices, stored, work_folder
+from .common import finished, keep_possible, mix, slices, stored, work_folder
 from .links import chunk_links, components, shared_ids, unsettled, with_components
 from .near_dedup import confirmed, shingle_sets
 
@@ -235,7 +235,7 @@ def similar_documents(docs: DataFrame, threshold: int = THRESHOLD, small: int =
     if not more.isEmpty():
         known = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
         found = components(known.unionByName(more), f"{folder}/last")
-    return with_components(rows, classes, found).drop("digest")
+    return finished(with_components(rows, classes, found).drop("digest"), folder)
 
 
 _SKETCH_ROWS = "doc_id long, n_shingles long, digest string, token long, times long"

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import mix, stored, work_folder
+from .common import finished, mix, stored, work_folder
 
 LETTERS = r"[a-zÀ-ÿ]+"
 LEAST_LENGTH, LEAST_COUNT = 7, 2
@@ -231,8 +231,8 @@ def variants(words: DataFrame, dominance: int = DOMINANCE) -> DataFrame:
         F.when(is_form, form_n).alias("form_n"))
     rows = stored(rows, f"{folder}/forms")
     roots = follow(rows.where("form IS NOT NULL").select("word", F.col("form").alias("root")), folder)
-    return rows.join(roots, "word", "left").select(
-        "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return finished(rows.join(roots, "word", "left").select(
+        "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"), folder)
 
 
 def spelling_variants(docs: DataFrame) -> DataFrame:
