@@ -11,7 +11,8 @@ The same ``state`` folder can be given to a later run with more fingerprints: th
 
 Defined results: null text counts as empty. Of equal texts the row with the largest ``doc_id`` stays; a null id is
 smaller than any other; of equal ids the row that lies last (file, row) stays, so exactly one row of a group is kept,
-also among repeated rows. An empty table gives an empty result. Columns beside ``doc_id`` and ``text`` are ignored.
+also among repeated rows. An empty table gives an empty result. Columns beside ``doc_id`` and ``text`` are ignored. Texts of any
+length are hashed and compared whole, by Spark's own functions.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ task and class put tasks in order, so no task ever sorts a whole class. Patterns
 in a table of bounded size gives sequence and slot.
 
 Defined results: null text is empty and has the end id alone; repeated rows are packed each by itself; further columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result. A long text is encoded as a whole and fills sequences of its own but for its
+tail.
 """
 
 from __future__ import annotations

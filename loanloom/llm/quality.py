@@ -6,7 +6,8 @@ out in four arrays that tasks walk for a whole batch of documents at once.
 
 Defined results: a null text counts as empty and gets a score like any other; labels other than 0 and 1 and rows without a
 ``doc_id`` teach nothing; without labels of both classes every score is the share of label 1 (0.5 without any); repeated
-rows give repeated results; further columns are ignored; an empty table gives an empty result.
+rows give repeated results; further columns are ignored; an empty table gives an empty result. Statistics cover a whole text of any length and
+take some tens of bytes per byte of it.
 """
 
 from __future__ import annotations

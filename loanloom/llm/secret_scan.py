@@ -12,7 +12,7 @@ Spans are (kind, start, end) in code points, the end exclusive.
 
 Defined results: null text is empty and has no spans; matches of one kind are leftmost and do not overlap; a match that is
 too short is dropped, what it covered is not searched again; repeated rows give repeated results; further columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result. A text of any length is searched as one string, never cut.
 """
 
 from __future__ import annotations

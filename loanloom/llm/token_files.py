@@ -7,7 +7,8 @@ filter exclude it. Each row also holds its file's part number and how many ids l
 global positions need one sum per file.
 
 Defined results: null text is empty (the end id alone is stored); a null ``doc_id`` comes first; repeated ids lie next to
-each other, ordered by a hash of the text; further columns are ignored; an empty table gives an empty table.
+each other, ordered by a hash of the text; further columns are ignored; an empty table gives an empty table. A
+long text is encoded as a whole; its ids are one list of one row.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ no join, no shuffle. Only the URL column is read.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and has no n-grams, so the
 bias alone decides. Further columns are ignored, repeated rows give repeated results, an empty table an empty result.
+A long URL is judged as a whole.
 """
 
 from __future__ import annotations
