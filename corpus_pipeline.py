@@ -2,6 +2,11 @@
 
 A stage takes the session, the rows so far and the directory of tables, and returns rows; they are written as Parquet and
 read again as the next stage's input. All but the last return the columns of ``documents``.
+
+Defined results, as the stages' modules state them: null and empty texts are scored like others, equal to each other, near
+to nothing, without secrets, and have the end id alone when packed; rows without a ``doc_id`` go through every stage; of
+repeated rows one stays; texts of any length are handled whole; an empty table gives an empty result; the first four stages
+keep further columns, whatever their names.
 """
 
 from __future__ import annotations
