@@ -5,7 +5,7 @@ member stands for it. Each class has ``BANDS`` band keys of ``ROWS`` MinHash val
 every MinHash sample flips one bit, so that equal samples of two documents cancel and the population count of the XOR of
 their bitmaps tells how many samples differ. At a similarity of 0.75 two documents share no band with probability 2e-4.
 
-Buckets of up to ``SMALL`` members give all their pairs, larger ones the pairs of one member with all others. Pairs go on if
+Buckets of up to ``SMALL`` members give all their pairs, larger ones (of some bands) the pairs of one member with all others. Pairs go on if
 their odd sketches do not rule the threshold out (by six standard deviations), and are linked if the full sets confirm it.
 Every document's most similar partners are confirmed first; components are found, and of the other pairs only those between
 different components are looked at. Larger buckets whose members are not all in one component by then are compared in chunks,
@@ -41,6 +41,8 @@ SMALL = 64
 CHUNK = 512
 # How many of its most similar partners each document is compared with before components are first found.
 BEST = 3
+# Bands whose large buckets give pairs with their leaders: these only spare the chunks work, which find all links.
+LEADING = 8
 # Similarity in percent.
 THRESHOLD = 75
 
@@ -189,13 +191,13 @@ def best_partners(pairs: DataFrame, count: int) -> DataFrame:
 
 
 def _bucket_pairs(members: DataFrame, small: int) -> DataFrame:
-    """All pairs (a, b) of small buckets, those with the leader of large ones."""
+    """All pairs (a, b) of small buckets, those with the leader of large ones in the first bands."""
     few = (members.where(F.col("members") <= small).groupBy("bucket")
            .agg(F.sort_array(F.collect_list("doc_id")).alias("ids")))
     few = few.select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(
         F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b"))
-    return few.unionByName(members.where(F.col("members") > small).select(
-        F.col("doc_id").alias("a"), F.col("leader").alias("b")))
+    led = members.where((F.col("members") > small) & (F.col("band") < LEADING))
+    return few.unionByName(led.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
 
 
 def unlike(sketches: np.ndarray, threshold: int) -> np.ndarray:
@@ -208,13 +210,12 @@ def unlike(sketches: np.ndarray, threshold: int) -> np.ndarray:
 
 def _linked(docs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str, threshold: int, small: int) -> DataFrame:
     """doc_id, component_id of the documents that are linked with others."""
-    bands = classes.select(F.col("head").alias("doc_id"), F.explode("bands").alias("bucket"))
+    bands = classes.select(F.col("head").alias("doc_id"), F.posexplode("bands").alias("band", "bucket"))
     # Any member can lead; it differs between buckets.
     buckets = bands.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("hash"), "doc_id")).alias("first")).where("members > 1")
+        F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("hash"), "doc_id")).alias("first")).where("members > 1")
     members = stored(bands.join(buckets, "bucket").select(
-        "bucket", "doc_id", "members", F.col("first.doc_id").alias("leader")), f"{folder}/members")
+        "bucket", "band", "doc_id", "members", F.col("first.doc_id").alias("leader")), f"{folder}/members")
     pairs = stored(likely(classes, _ordered(_bucket_pairs(members, small)), threshold), f"{folder}/pairs")
     many = members.where(F.col("members") > small).select("bucket", "doc_id")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(many.select("doc_id")).distinct()
