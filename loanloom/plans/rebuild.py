@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
@@ -27,9 +27,10 @@ def _store(layers: Layers, expectations: Expectations, layer: str, table: str, r
                           checker(layers, layer, table, expectations))
 
 
-def load_raw(layers: Layers, read: Callable[[str], DataFrame], expectations: Expectations = GENERAL) -> None:
+def load_raw(layers: Layers, read: Callable[[str], DataFrame], expectations: Expectations = GENERAL,
+             tables: Iterable[str] = RAW_TABLES) -> None:
     """Store the raw tables, read by table name with ``read``."""
-    for table in RAW_TABLES:
+    for table in tables:
         _store(layers, expectations, RAW, table, read(table))
 
 
@@ -41,8 +42,8 @@ def load_csv(layers: Layers, paths: dict[str, str], reject_limit: int = 0, expec
     of them the table keeps its old rows and the load ends, with the list written. Without one the first such value is an error.
     """
     if not reject_limit:
-        return load_raw(layers, lambda table: read_raw_csv(layers.spark, paths[table], table), expectations)
-    for table in RAW_TABLES:
+        return load_raw(layers, lambda table: read_raw_csv(layers.spark, paths[table], table), expectations, paths)
+    for table in paths:
         read = checked_csv(layers.spark, paths[table], table)
         limit = Range((RAW, table), "rejected_rows", most=reject_limit)
         check = checker(layers, RAW, table, (limit, *expectations))

@@ -2,13 +2,14 @@
 
 Written against the definitions, not the Spark plans: payment totals come from the literal pairing of instalments and
 POS months, the star schema is joined table by table, scores are added up in SQL. Shared with the Spark side are only
-the derivation expressions of the raw test data.
+the derivation expressions of the raw test data and the damage done to CSV files.
 """
 
 from __future__ import annotations
 
 import re
 
+from loanloom.plans.trial import DAMAGE
 from loanloom.sources.fixtures import fixture_casts
 from loanloom.sources.schemas import RAW_TABLES
 
@@ -304,7 +305,53 @@ def _counts(**tables: str) -> str:
                               for label, name in tables.items())
 
 
+def _metrics(name: str, source: str, key: str | None = None, **metrics: str) -> str:
+    """One row per metric of a stored table; keys are counted here, not numbered."""
+    own = {"row_count": "count(*)", **metrics}
+    if key:
+        own |= {"repeated_keys": f"count({key}) - count(DISTINCT {key})", "missing_keys": f"count(*) - count({key})"}
+    return " UNION ALL ".join(f"SELECT '{name}' AS table_name, '{metric}' AS metric, CAST({value} AS DOUBLE) AS value FROM {source}"
+                              for metric, value in own.items())
+
+
+def _rebuild_metrics() -> str:
+    def percent(flag: str) -> str:
+        return f"avg({flag}) * 100"
+
+    customer = "CUSTOMER_ID"
+    return " UNION ALL ".join([
+        *[_metrics(f"raw_data.{table}", f"raw_{table}") for table in RAW_TABLES],
+        _metrics("cleaned_data.application_train", "c_application", "SK_ID_CURR"),
+        _metrics("cleaned_data.bureau", "c_bureau", min_credit_sum="min(AMT_CREDIT_SUM)", min_debt="min(AMT_CREDIT_SUM_DEBT)",
+                 min_overdue="min(AMT_CREDIT_MAX_OVERDUE)"),
+        _metrics("cleaned_data.previous_application", "c_previous"),
+        _metrics("cleaned_data.installments_payments", "c_installments", late_payment_pct=percent("IS_LATE_PAYMENT")),
+        _metrics("cleaned_data.pos_cash_balance", "c_pos", delinquency_rate_pct=percent("IS_DELINQUENT")),
+        _metrics("cleaned_data.credit_card_balance", "c_card", below_min_pct=percent("IS_BELOW_MIN_PAYMENT"),
+                 avg_utilization_pct="round(avg(round(MONTHLY_CREDIT_UTILIZATION * 1e4))) / 1e2"),
+        _metrics("analytics.dim_customer", "s_customer", customer),
+        _metrics("analytics.dim_loan", "s_loan", customer),
+        _metrics("analytics.dim_credit_history", "s_credit", customer, avg_bureau_records="avg(TOTAL_BUREAU_RECORDS)",
+                 max_prev_defaults="max(PREV_DEFAULT_COUNT)"),
+        _metrics("analytics.fact_payment_history", "s_payment",
+                 avg_missed_pct="round(avg(round(MISSED_PAYMENT_RATIO * 1e4)) / 1e2) / 1e2",
+                 avg_payment_ratio="round(avg(round(PAYMENT_RATIO_PCT * 1e4)) / 1e2) / 1e2"),
+        _metrics("analytics.fact_loan_performance", "s_performance", customer),
+        _metrics("analytics.customer_risk_features", "features", customer),
+        _metrics("analytics.customer_risk_scores", "scores", customer, default_rate_pct=percent("DEFAULT_FLAG"),
+                 min_score="min(RISK_SCORE)", max_score="max(RISK_SCORE)")])
+
+
+def _csv_rejects() -> str:
+    return " UNION ALL ".join(f"""SELECT '{table}' AS table_name, '{column}' AS column_name, '{text}' AS text,
+        count(*) FILTER (WHERE {where}) AS rejected_values, rejected_values AS rejected_rows,
+        count(*) - rejected_values AS row_count FROM raw_{table} HAVING rejected_values > 0"""
+                              for table, (column, where, text) in DAMAGE.items())
+
+
 _QUERIES = {
+    "rebuild_metrics": _rebuild_metrics(),
+    "csv_rejects": _csv_rejects(),
     "load_raw_counts": _counts(**{table: f"raw_{table}" for table in RAW_TABLES}),
     **{f"raw_{table}": f"SELECT * FROM raw_{table}" for table in RAW_TABLES},
     "dedup_application": "SELECT * FROM d_application",

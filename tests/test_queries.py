@@ -25,10 +25,10 @@ def ordered(rows):
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.portfolio_queries()) <= set(entry.oracle_sql())
+    assert {*entry.portfolio_queries(), *entry.stored_queries()} <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.portfolio_queries()))
+@pytest.mark.parametrize("name", sorted({**entry.portfolio_queries(), **entry.stored_queries()}))
 def test_query(spark, database, name):
     actual = entry.queries()[name](spark, f"{TESTDATA}/sf0.001")
     expected = database.sql(entry.oracle_sql()[name])
@@ -39,5 +39,9 @@ def test_query(spark, database, name):
     assert ordered(actual.select(columns).collect()) == expected
 
 
+def test_trials_leave_nothing(spark):
+    assert not [r for r in spark.sql("SHOW DATABASES").collect() if r[0].startswith("trial_")]
+
+
 def test_entry(spark):
     assert [r.RISK_CATEGORY for r in entry.entry(spark).collect()] == ["High Risk", "Medium Risk", "Low Risk"]
