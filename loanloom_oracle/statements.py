@@ -143,13 +143,12 @@ _CTES["s_customer"] = f"""
         NAME_EDUCATION_TYPE AS EDUCATION, NAME_FAMILY_STATUS AS FAMILY_STATUS, NAME_HOUSING_TYPE AS HOUSING_TYPE,
         CNT_CHILDREN AS NUM_CHILDREN, CNT_FAM_MEMBERS AS FAMILY_SIZE, OCCUPATION_TYPE AS OCCUPATION,
         ORGANIZATION_TYPE AS EMPLOYER_TYPE, YEARS_EMPLOYED,
-        {_tiers(("YEARS_EMPLOYED IS NULL", "'Unemployed'"), ("YEARS_EMPLOYED > 10", "'10+ Years'"),
-                ("YEARS_EMPLOYED > 5", "'5-10 Years'"), ("YEARS_EMPLOYED >= 2", "'2-5 Years'"),
-                default="'Under 2 Years'")} AS EMPLOYMENT_BAND,
+        {_tiers(("YEARS_EMPLOYED IS NULL", "'Unemployed'"), ("YEARS_EMPLOYED < 2", "'Under 2 Years'"),
+                ("YEARS_EMPLOYED <= 5", "'2-5 Years'"), ("YEARS_EMPLOYED <= 10", "'5-10 Years'"),
+                default="'10+ Years'")} AS EMPLOYMENT_BAND,
         NAME_INCOME_TYPE AS INCOME_TYPE, AMT_INCOME_TOTAL AS ANNUAL_INCOME,
-        {_tiers(("AMT_INCOME_TOTAL IS NULL OR AMT_INCOME_TOTAL > 5e5", "'Very High (500K+)'"),
-                ("AMT_INCOME_TOTAL > 2e5", "'High (200-500K)'"), ("AMT_INCOME_TOTAL >= 1e5", "'Medium (100-200K)'"),
-                default="'Low (<100K)'")} AS INCOME_BAND,
+        {_tiers(("AMT_INCOME_TOTAL < 1e5", "'Low (<100K)'"), ("AMT_INCOME_TOTAL <= 2e5", "'Medium (100-200K)'"),
+                ("AMT_INCOME_TOTAL <= 5e5", "'High (200-500K)'"), default="'Very High (500K+)'")} AS INCOME_BAND,
         REGION_RATING_CLIENT AS REGION_RATING, TARGET AS DEFAULT_FLAG
     FROM c_application"""
 _CTES["s_loan"] = f"""
@@ -239,8 +238,8 @@ _CTES["features"] = f"""
 
 
 def _points(*tiers: tuple[int, str]) -> str:
-    """Points of tiers that exclude each other: each condition as 0 or 1 times its points."""
-    return "CAST(" + " + ".join(f"{points} * CAST(ifnull({test}, false) AS INT)" for points, test in tiers) + " AS INT)"
+    """Points of the first tier that holds, 0 if none does."""
+    return f"CAST({_tiers(*[(test, str(points)) for points, test in tiers], default='0')} AS INT)"
 
 
 _CTES["points"] = f"""
@@ -409,9 +408,10 @@ _QUERIES = {
         round(avg(YEARS_EMPLOYED), 2) AS avg_years_employed FROM features""",
     "default_by_dti": _by("DTI_CATEGORY", "features"),
     "default_by_employment": _by("EMPLOYMENT_BAND", "features"),
-    "default_by_history": _by("""[
-        'No Previous Defaults', '1 Previous Default', '2 Previous Defaults', '3+ Previous Defaults'
-        ][least(PREV_DEFAULT_COUNT, 3) + 1] AS default_history""", "features"),
+    "default_by_history": _by(_tiers(
+        ("PREV_DEFAULT_COUNT = 0", "'No Previous Defaults'"), ("PREV_DEFAULT_COUNT = 1", "'1 Previous Default'"),
+        ("PREV_DEFAULT_COUNT = 2", "'2 Previous Defaults'"), default="'3+ Previous Defaults'") + " AS default_history",
+        "features"),
     "risk_points": "SELECT * FROM points",
     "customer_risk_scores": "SELECT * FROM scores",
     "risk_distribution": f"""SELECT RISK_CATEGORY, count(*) AS customers,
