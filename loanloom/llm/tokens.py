@@ -1,14 +1,16 @@
 """Token ids of whole texts, as the tokenizers library gives them, with each distinct unit encoded once per process.
 
-Texts are cut before every blank that a character other than white space follows. Both vocabularies' pre-tokenisers
-treat the two sides of such a cut alike whether together or apart, so the ids of a text are those of its units, one
-after the other. Units are found and hashed as arrays; only units not met before go to the tokenizer. A text that holds
-the beginning of a special token's string is encoded as a whole.
+Texts are cut before every blank that a character other than white space follows, and where a Latin letter meets an ASCII
+sign other than an apostrophe, or a line end. Both vocabularies' pre-tokenisers treat the two sides of such a cut alike
+whether together or apart, so the ids of a text are those of its units, one after the other. Units are found and hashed
+as arrays; only units not met before go to the tokenizer, those that begin at a blank many in one text. A text that holds the
+beginning of a special token's string is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _NO_CUT = np.zeros(256, bool)
 _NO_CUT[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
+# Letters of one byte, and what a text is cut before where it follows a letter: runs of letters end there in both vocabularies.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_AFTER_LETTER = np.zeros(256, bool)
+_AFTER_LETTER[[*b"\n!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+
+# Units that are encoded as one text.
+RUN = 512
 # Units remembered by one process; beyond that it starts anew.
 REMEMBERED = 1_500_000
 
@@ -36,11 +46,15 @@ def load_tokenizer(path: str):
 
 
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where units begin: at the beginning of each text that is not empty, and at the blanks described above."""
+    """Where units begin: at the beginning of each text that is not empty, and at the cuts described above."""
     if not len(data):
         return np.zeros(0, np.int64)
     cut = np.zeros(len(data), bool)
     cut[:-1] = (data[:-1] == 0x20) & ~_NO_CUT[data[1:]]
+    letter = _LETTER[data]
+    # U+00C0 to U+00FF without the two signs among them.
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut[1:] |= letter[:-1] & _AFTER_LETTER[data[1:]]
     ends = offsets[1:]
     ends = ends[ends > 0]
     cut[ends - 1] = False  # a blank that ends its text
@@ -89,11 +103,36 @@ class UnitTable:
         self.lengths = np.insert(self.lengths, at, lengths[order])
 
 
+def _encode_texts(tokenizer, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units of texts that consist of units, and how many each unit has."""
+    ids, lengths = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+    for units, found in zip(texts, tokenizer.encode_batch(["".join(units) for units in texts], add_special_tokens=False)):
+        own = found.ids
+        ids.append(np.array(own, np.uint16))
+        if len(units) == 1:
+            lengths.append(np.array([len(own)], np.int64))
+            continue
+        begins = np.cumsum([0, *map(len, units[:-1])])
+        at = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(own))[::2]
+        lengths.append(np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(units)))
+    return np.concatenate(ids), np.concatenate(lengths)
+
+
 def encode_units(tokenizer, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the units one after the other, and how many each has."""
-    found = [x.ids for x in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter((i for ids in found for i in ids), np.uint16, int(lengths.sum())), lengths
+    """Ids of the units one after the other, and how many each has.
+
+    A text may be cut before a blank that no white space follows, so units that begin like that are put together to longer
+    texts, and the places of the ids tell whose they are.
+    """
+    joined = np.fromiter((len(u) > 1 and u[0] == " " and not _NO_CUT[u[1].encode()[0]] for u in units), bool, len(units))
+    order = np.argsort(joined, kind="stable")
+    alone = len(units) - int(joined.sum())
+    placed = [units[i] for i in order.tolist()]
+    ids, lengths = _encode_texts(tokenizer, [[u] for u in placed[:alone]] + [
+        placed[i:i + RUN] for i in range(alone, len(placed), RUN)])
+    starts = np.cumsum(lengths) - lengths
+    back = np.argsort(order)
+    return ids[ragged(starts[back], lengths[back])], lengths[back]
 
 
 class Encoder:
