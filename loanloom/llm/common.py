@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -59,9 +60,28 @@ def finished(rows: DataFrame, folder: str) -> DataFrame:
     return result
 
 
+# Spark removes what a query shuffled when it ends, not when the driver next collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def stored(rows: DataFrame, path: str) -> DataFrame:
-    """Write ``rows`` as Parquet and return the written table: lineage ends here, lost executors cost no recomputation."""
-    rows.write.parquet(path)
+    """Write ``rows`` as Parquet and return the written table: lineage ends here, lost executors cost no recomputation, and
+    what was shuffled on the way is removed at once."""
+    with _tidy(rows.sparkSession):
+        rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -38,3 +38,17 @@ def test_only_the_result_stays(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(near_dedup, "work_folder", lambda spark, purpose: f"{tmp_path}/{purpose}")
     docs = spark.createDataFrame([(i, "one two three four five six " + "seven " * (i % 2)) for i in range(6)], "doc_id long, text string")
     assert near_dedup.near_duplicates(docs).count() == 6 and os.listdir(f"{tmp_path}/near") == ["result"]
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {file for file in files.split("\n") if "/shuffle_" in file}
+
+
+def test_stored_rows_leave_no_shuffle_files(spark, tmp_path):
+    before, setting = _shuffle_files(spark), spark.conf.get(common.SHUFFLE_CLEANUP)
+    rows = common.stored(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), f"{tmp_path}/rows")
+    assert rows.agg({"count": "sum"}).first()[0] == 1000 and spark.conf.get(common.SHUFFLE_CLEANUP) == setting
+    common.stored(rows.groupBy("count").agg({"k": "max"}), f"{tmp_path}/more")
+    left = {file.rpartition("/")[2].split("_")[1] for file in _shuffle_files(spark) - before}
+    assert len(left) <= 1, left  # that of the sum, which was not stored
