@@ -15,9 +15,10 @@ REJECTED = "_rejected"
 
 
 def _typed(text: Column, type_name: str, cast: Callable[[Column, str], Column] = Column.cast) -> Column:
-    # Whole numbers may be written as 3.0; going through a decimal accepts that and still rejects text.
+    # Whole numbers may be written as 3.0; going through a decimal accepts that and still rejects text. Most are not and
+    # need no decimal.
     if type_name in ("INT", "BIGINT"):
-        text = cast(text, "decimal(38,0)")
+        return F.coalesce(text.try_cast(type_name), cast(cast(text, "decimal(38,0)"), type_name))
     return cast(text, type_name)
 
 
@@ -25,9 +26,14 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("enforceSchema", False).option("escape", '"').csv(path)
 
 
-def _spread(rows: DataFrame, read: DataFrame) -> DataFrame:
-    """A gzip file is read by one task: if there is one among the files, deal the rows out over the cluster."""
-    if any(file.lower().endswith(".gz") for file in read.inputFiles()):
+def _spread(rows: DataFrame, path: str) -> DataFrame:
+    """A gzip file is read by one task: if one of the files is such and has more than twice a core's share of all bytes, deal
+    the rows out over the cluster. Many files of like size are read in parallel anyway, and their rows stay where they are."""
+    spark = rows.sparkSession
+    # The folder's listing: no file is opened for it.
+    files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    largest = max((f.length for f in files if f.path.lower().endswith(".gz")), default=0)
+    if largest * spark.sparkContext.defaultParallelism > 2 * sum(f.length for f in files):
         return rows.hint("rebalance")
     return rows
 
@@ -38,12 +44,12 @@ def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     Columns are taken by name, so files may hold more columns or another order; a missing column or a value that does
     not fit its type is an error. Empty fields are NULL.
 
-    Rows of gzip files are spread over the cluster before the casts, so that everything after the decompression runs in
-    parallel; load once and keep the result as Parquet.
+    Rows of few or unlike gzip files are spread over the cluster before the casts, so that everything after the decompression
+    runs in parallel; load once and keep the result as Parquet.
     """
     types = raw_types(table)
     read = _texts(spark, path)
-    text = _spread(read.select(*types), read)
+    text = _spread(read.select(*types), path)
     return text.select(*[_typed(text[column], type_name).alias(column) for column, type_name in types.items()])
 
 
@@ -67,7 +73,7 @@ def checked_csv(spark: SparkSession, path: str, table: str) -> CheckedCsv:
     typed = {column: _typed(F.col(column), type_name, Column.try_cast) for column, type_name in types.items()}
     unfit = {column: F.col(column).isNotNull() & value.isNull() for column, value in typed.items()}
     any_unfit = F.greatest(*[F.coalesce(bad, F.lit(False)) for bad in unfit.values()])
-    rows = _spread(read.select(*types), read).select(*[value.alias(column) for column, value in typed.items()],
+    rows = _spread(read.select(*types), path).select(*[value.alias(column) for column, value in typed.items()],
                                                      any_unfit.alias(REJECTED))
 
     numbered = read.select(*types, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
