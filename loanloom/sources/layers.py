@@ -24,6 +24,9 @@ RAW, CLEANED, ANALYTICS = LAYERS = ("raw_data", "cleaned_data", "analytics")
 ROWS_PER_BUCKET = 250_000
 MOST_BUCKETS = 1 << 14
 
+# Of stored tables: they are written once and read several times, and take a third less than with Spark's default.
+COMPRESSION = "zstd"
+
 _METRICS, _VERSION = "loanloom.metrics", "loanloom.version"
 
 Metrics = dict[str, int | float | None]
@@ -112,7 +115,7 @@ class Layers:
             rows = rows.where(~F.col(rejected)).drop(rejected)
         version = f"{table}__{time.time_ns():x}_{uuid.uuid4().hex[:8]}"
         stored = f"{self._versions(layer)}.{version}"
-        writer = rows.write.format("parquet")
+        writer = rows.write.format("parquet").option("compression", COMPRESSION)
         if unique_key:
             writer = writer.bucketBy(buckets, unique_key).sortBy(unique_key)
         try:

@@ -7,7 +7,9 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
+from loanloom.plans import trial
 from loanloom.sources.csv import checked_csv, read_raw_csv
+from loanloom.sources.layers import RAW, Layers
 from loanloom.sources.schemas import INSTALLMENTS, raw_types
 
 NAMES = list(raw_types(INSTALLMENTS))
@@ -43,3 +45,17 @@ def test_whole_numbers_are_those_of_a_decimal(spark, tmp_path, text):
 def test_whole_numbers_need_no_decimal(spark, tmp_path):
     rows = read_raw_csv(spark, parts(tmp_path / "parts", 5), INSTALLMENTS)
     assert re.search(r"coalesce\((try_)?cast\(NUM_INSTALMENT_NUMBER#\d+ as int\)", plan_of(rows))
+
+
+def test_files_and_stored_tables_are_compact(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trial, "ROWS_PER_FILE", 100)
+    rows = spark.range(950).coalesce(1)
+    spark.sql(f"CREATE DATABASE trial_files LOCATION '{tmp_path}/files'")
+    try:
+        trial._written(rows, "trial_files.rows", True)
+        files = spark.table("trial_files.rows").inputFiles()
+        assert len(files) == 10 and all(file.endswith(".csv.gz") for file in files)
+    finally:
+        spark.sql("DROP DATABASE trial_files CASCADE")
+    stored = Layers(spark, f"{tmp_path}/layers", prefix="compact_").replace(RAW, "bureau", rows)
+    assert all(file.endswith(".zstd.parquet") for file in stored.inputFiles()) and stored.count() == 950
