@@ -85,6 +85,17 @@ def stored(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+# Spark sends 10,000 rows a batch to Python unless told otherwise: some 20 MB of texts, several times in either process.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers ``BATCH_ROWS`` at a time, unless the session's owner has set a number."""
+    if spark.conf.get(ARROW_ROWS, None) is None:
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
+
+
 def own_columns(rows: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the input cannot clash with those an operator adds."""
     return rows.select(*[F.col(f"`{name}`") for name in names])

@@ -34,6 +34,8 @@ _STATE_STORE = {
     # No space is set aside for logs that stay small: there are as many stores as shuffle partitions.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
+    # A store is closed when its task has committed; else all stores of an executor, with their threads, stay open for minutes.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 _CARRIED = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes")
 
