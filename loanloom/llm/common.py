@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -113,8 +114,26 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """The C library's ``malloc_trim``, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system. A Python worker lives on after its task, and what the arrays
+    beside its slices took would stay with it, beside whatever the executor does next."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of one slice take about ``limit`` bytes (a longer text is a slice of its own)."""
+    """Cut batches so that the texts of one slice take about ``limit`` bytes (a longer text is a slice of its own). After the
+    last one unused memory is given back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -126,6 +145,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
             end = max(begin + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    release()
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -28,9 +28,10 @@ from .common import keep_possible, own_columns, stored, work_folder
 _STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    # All stores of an executor share one bounded cache.
+    # All stores of an executor share one bounded cache, which stays full after the last of them is closed. A store holds one
+    # partition, so few of its blocks are read twice.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     # No space is set aside for logs that stay small: there are as many stores as shuffle partitions.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",

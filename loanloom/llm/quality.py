@@ -15,15 +15,19 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_possible, mix, range_hashes, slices, stored, text_arrays, word_ranges, work_folder
 
+# Only for annotations: it would take some 25 MB of every Python worker.
+if TYPE_CHECKING:
+    import pandas as pd
+
 TRAINING_ROWS = 20_000
 BINS = 64
 TREES = 80

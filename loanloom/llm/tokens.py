@@ -13,7 +13,6 @@ import os
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from .common import range_hashes, text_arrays
@@ -34,6 +33,8 @@ _AFTER_LETTER[[*b"\n!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 RUN = 512
 # Units remembered by one process; beyond that it starts anew.
 REMEMBERED = 1_500_000
+# Ids of units remembered: places among them have 32 bits, and one text adds fewer than 2 ** 31.
+REMEMBERED_IDS = 1 << 30
 
 
 def load_tokenizer(path: str):
@@ -76,8 +77,8 @@ class UnitTable:
 
     def __init__(self):
         self.hashes = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.uint32)
+        self.lengths = np.zeros(0, np.uint32)
         self.pool = np.zeros(1 << 16, np.uint16)
         self.used = 0
 
@@ -92,7 +93,9 @@ class UnitTable:
     def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Add distinct new hashes with their ids, which lie one after the other."""
         while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            larger = np.zeros(2 * len(self.pool), np.uint16)
+            larger[:self.used] = self.pool[:self.used]
+            self.pool = larger
         self.pool[self.used:self.used + len(ids)] = ids
         starts = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
@@ -151,10 +154,12 @@ class Encoder:
         starts = unit_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         hashes = range_hashes(data, starts, ends)
-        codes, distinct = pd.factorize(hashes)
+        # Not by pandas, which would take some 25 MB of every Python worker.
+        found = pa.array(hashes).dictionary_encode()
+        codes, distinct = found.indices.to_numpy(), found.dictionary.to_numpy()
         places, known = self.table.find(distinct)
         if not known.all():
-            if len(self.table.hashes) > self.remembered:
+            if len(self.table.hashes) > self.remembered or self.table.used > REMEMBERED_IDS:
                 self.table, known = UnitTable(), np.zeros(len(distinct), bool)
             first = np.full(len(distinct), -1, np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
@@ -164,7 +169,7 @@ class Encoder:
             self.table.add(distinct[~known], *encode_units(self.tokenizer, units))
             places, known = self.table.find(distinct)
         places = places[codes]
-        lengths = self.table.lengths[places]
+        lengths = self.table.lengths[places].astype(np.int64)
         ids = self.table.pool[ragged(self.table.starts[places], lengths)]
         before = np.append(0, np.cumsum(lengths))
         offsets_of_ids = before[np.searchsorted(starts, offsets)]

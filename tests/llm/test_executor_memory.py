@@ -1,10 +1,16 @@
 """What the pipeline's stages keep in executors and their Python workers."""
 
+import os
+import subprocess
+import sys
+
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from loanloom.llm import common, exact_dedup
+from loanloom.llm import common, exact_dedup, tokens
+from loanloom.llm.queries import BYTE_BPE
 
 
 def state_threads(spark):
@@ -50,3 +56,50 @@ def test_a_number_the_session_has_is_left(spark, unset):
     spark.conf.set(common.ARROW_ROWS, 5000)
     common.small_batches(spark)
     assert spark.conf.get(common.ARROW_ROWS) == "5000"
+
+
+def test_stages_do_not_load_pandas():
+    modules = "exact_dedup, near_dedup, packing, quality, secret_scan, token_files"
+    code = f"import sys; from loanloom.llm import {modules}; sys.exit('pandas' in sys.modules)"
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def resident_mb():
+    with open("/proc/self/smaps_rollup") as lines:
+        return next(int(line.split()[1]) for line in lines if line.startswith("Anonymous:")) / 1024
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_unused_memory_goes_back_after_the_last_slice():
+    batches = common.slices([pa.RecordBatch.from_pydict({"text": ["a", "b"]})])
+    next(batches)
+    held = [np.ones(64 << 10, np.uint8) for _ in range(2000)]
+    on_top = held[1::100]  # blocks that stay keep the C library from giving back what lies below
+    del held
+    before = resident_mb()
+    assert list(batches) == [] and len(on_top) == 20
+    assert resident_mb() < before - 60
+
+
+def test_remembered_units_take_few_bytes():
+    table = tokens.UnitTable()
+    table.add(np.arange(1000, dtype=np.uint64)[::-1], np.arange(1000) % 7, np.ones(1000, np.int64))
+    places, known = table.find(np.array([3, 998, 1000], np.uint64))
+    assert known.tolist() == [True, True, False]
+    assert table.pool[table.starts[places[:2]]].tolist() == [996 % 7, 1]
+    assert sum(a.itemsize for a in (table.hashes, table.starts, table.lengths)) <= 16
+
+
+def test_the_table_starts_anew_with_too_many_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_IDS", 5)
+    own, texts = tokens.Encoder(BYTE_BPE), [f"some words {i} and others {i * 7}" for i in range(40)]
+    for text in texts:
+        ids, offsets = own.encode(pa.array([text]))
+        assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids and offsets.tolist() == [0, len(ids)]
+    assert len(own.table.hashes) < 20
+
+
+def test_the_state_stores_cache_is_small(spark):
+    session = exact_dedup._state_session(spark)
+    assert int(session.conf.get("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB")) <= 64
