@@ -119,8 +119,7 @@ def _encode_lists(path: str):
                     units = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
                     table.add(hashes[new], *encode_units(tokenizer, units))
                 places, _ = table.find(hashes)
-                lengths = table.lengths[places]
-                ids = table.pool[ragged(table.starts[places], lengths)]
+                ids, lengths = table.ids(places)
                 yield _placed(block, 0, blob, pack_ids(ids, lengths))
     return encode
 

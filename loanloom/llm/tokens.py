@@ -33,8 +33,8 @@ _AFTER_LETTER[[*b"\n!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 RUN = 512
 # Units remembered by one process; beyond that it starts anew.
 REMEMBERED = 1_500_000
-# Ids of units remembered: places among them have 32 bits, and one text adds fewer than 2 ** 31.
-REMEMBERED_IDS = 1 << 30
+# Ids up to which places among them are held in 32 bits.
+NARROW = 1 << 32
 
 
 def load_tokenizer(path: str):
@@ -90,6 +90,11 @@ class UnitTable:
         places = np.minimum(places, len(self.hashes) - 1)
         return places, self.hashes[places] == hashes
 
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units at ``places`` one after the other, and how many each has."""
+        lengths = self.lengths[places].astype(np.int64)
+        return self.pool[ragged(self.starts[places].astype(np.int64), lengths)], lengths
+
     def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Add distinct new hashes with their ids, which lie one after the other."""
         while self.used + len(ids) > len(self.pool):
@@ -99,6 +104,8 @@ class UnitTable:
         self.pool[self.used:self.used + len(ids)] = ids
         starts = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
+        if self.used > NARROW:
+            self.starts = self.starts.astype(np.int64)
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
         self.hashes = np.insert(self.hashes, at, hashes[order])
@@ -159,7 +166,7 @@ class Encoder:
         codes, distinct = found.indices.to_numpy(), found.dictionary.to_numpy()
         places, known = self.table.find(distinct)
         if not known.all():
-            if len(self.table.hashes) > self.remembered or self.table.used > REMEMBERED_IDS:
+            if len(self.table.hashes) > self.remembered:
                 self.table, known = UnitTable(), np.zeros(len(distinct), bool)
             first = np.full(len(distinct), -1, np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
@@ -168,9 +175,7 @@ class Encoder:
             units = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
             self.table.add(distinct[~known], *encode_units(self.tokenizer, units))
             places, known = self.table.find(distinct)
-        places = places[codes]
-        lengths = self.table.lengths[places].astype(np.int64)
-        ids = self.table.pool[ragged(self.table.starts[places], lengths)]
+        ids, lengths = self.table.ids(places[codes])
         before = np.append(0, np.cumsum(lengths))
         offsets_of_ids = before[np.searchsorted(starts, offsets)]
         return self._with_specials(texts, data, offsets, ids, offsets_of_ids)

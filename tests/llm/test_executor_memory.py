@@ -10,7 +10,6 @@ import pyarrow as pa
 import pytest
 
 from loanloom.llm import common, exact_dedup, tokens
-from loanloom.llm.queries import BYTE_BPE
 
 
 def state_threads(spark):
@@ -82,22 +81,19 @@ def test_unused_memory_goes_back_after_the_last_slice():
     assert resident_mb() < before - 60
 
 
-def test_remembered_units_take_few_bytes():
+@pytest.mark.parametrize("narrow", [tokens.NARROW, 5])
+def test_remembered_units_take_few_bytes(monkeypatch, narrow):
+    """Places among more ids than 32 bits can tell apart are held in 64."""
+    monkeypatch.setattr(tokens, "NARROW", narrow)
     table = tokens.UnitTable()
-    table.add(np.arange(1000, dtype=np.uint64)[::-1], np.arange(1000) % 7, np.ones(1000, np.int64))
-    places, known = table.find(np.array([3, 998, 1000], np.uint64))
+    for begin in (0, 500):
+        hashes = np.arange(begin, begin + 500, dtype=np.uint64)[::-1]
+        table.add(hashes, np.repeat(hashes, 2) % 97, np.full(500, 2))
+    places, known = table.find(np.array([998, 3, 1000], np.uint64))
     assert known.tolist() == [True, True, False]
-    assert table.pool[table.starts[places[:2]]].tolist() == [996 % 7, 1]
-    assert sum(a.itemsize for a in (table.hashes, table.starts, table.lengths)) <= 16
-
-
-def test_the_table_starts_anew_with_too_many_ids(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED_IDS", 5)
-    own, texts = tokens.Encoder(BYTE_BPE), [f"some words {i} and others {i * 7}" for i in range(40)]
-    for text in texts:
-        ids, offsets = own.encode(pa.array([text]))
-        assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids and offsets.tolist() == [0, len(ids)]
-    assert len(own.table.hashes) < 20
+    ids, lengths = table.ids(places[:2])
+    assert ids.tolist() == [998 % 97] * 2 + [3] * 2 and lengths.tolist() == [2, 2] and lengths.dtype == np.int64
+    assert sum(a.itemsize for a in (table.hashes, table.starts, table.lengths)) == (16 if narrow > 5 else 20)
 
 
 def test_the_state_stores_cache_is_small(spark):
