@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by collision counting over single projections.
 
 Vectors are cut into blocks of bounded size. A block's index is one sorted array per random projection. A query places a
-window around its own projection in every array; a vector collides once for each window that holds it. Windows grow step by
-step (virtual rehashing: wider buckets without a new index, and only what a step adds is counted) until vectors of enough
-distinct ids other than the query's own reach the collision threshold. All of those are verified: their cosines are computed
-in double precision on the original vectors. A query's best of all blocks are its neighbours.
+window around its own projection in every array; a vector collides once for each window that holds it. Windows take the first
+of a row of widths (virtual rehashing: wider buckets without a new index) at which vectors of enough distinct ids other than
+the query's own reach the collision threshold. All of those are verified: their cosines are computed in double precision on
+the original vectors. A query's best of all blocks are its neighbours.
 
 Equal rows (same ``vec_id``, same components) are merged before the blocks are cut, so copies take no room in them.
 
@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, work_folder
-from .tokens import ragged
 
 PROJECTIONS = 96
 # Collisions from which a vector is verified, as a share of the projections.
@@ -54,46 +53,74 @@ def cosines(vectors: np.ndarray, norms: np.ndarray, query: np.ndarray, norm: flo
 
 
 class BlockIndex:
-    """Sorted projections of a block's vectors."""
+    """Sorted projections of a block's vectors, and each vector's rank in every one of them.
+
+    A window is a range of ranks. All vectors' ranks are compared with it at once: among vectors without structure a window
+    holds about half of its block, and fetching those one by one through the sorted order took several times as long."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = 11):
         self.ids, self.vectors = ids, vectors
         self.distinct = np.unique(ids)
+        self.single = len(self.distinct) == len(ids)
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.directions = np.random.default_rng(seed).normal(size=(vectors.shape[1], projections))
         values = ((vectors / self.norms[:, None]) @ self.directions).T
         order = np.argsort(values, axis=1, kind="stable")
         # The arrays lie one after the other, each lifted above the one before, so that one search finds all windows.
         self.lift = np.arange(projections) * 1000.0
-        self.order = order.ravel()
         self.sorted = (np.take_along_axis(values, order, axis=1) + self.lift[:, None]).ravel()
+        self.begins = np.arange(projections) * len(ids)
+        # The narrowest type that holds the block's size: ranks below a window wrap around to numbers above its length.
+        self.ranks = np.empty(order.shape, np.min_scalar_type(len(ids)))
+        np.put_along_axis(self.ranks, order, np.arange(len(ids), dtype=self.ranks.dtype)[None, :], axis=1)
+        self._beyond, self._inside = np.empty_like(self.ranks), np.empty(order.shape, bool)
+        self._widths = [FIRST_WIDTH]
+        self._step = 0
+
+    def collisions(self, own: np.ndarray, width: float) -> tuple[np.ndarray, bool]:
+        """How many windows hold each vector, and whether all windows hold all vectors."""
+        low = np.searchsorted(self.sorted, own - width)
+        lengths = np.searchsorted(self.sorted, own + width, "right") - low
+        kind = self.ranks.dtype
+        np.subtract(self.ranks, (low - self.begins).astype(kind)[:, None], out=self._beyond)
+        np.less(self._beyond, lengths.astype(kind)[:, None], out=self._inside)
+        counts = self._inside.view(np.uint8).sum(axis=0, dtype=np.min_scalar_type(len(lengths)))
+        return counts, lengths.min() == len(self.ids)
 
     def candidates(self, query_id: int, query: np.ndarray, enough: int = ENOUGH, share: float = COLLISIONS) -> np.ndarray:
         """Places of the other ids' vectors that collide often enough, in windows just wide enough for ``enough`` ids."""
-        size, arrays = len(self.ids), len(self.lift)
         other = self.ids != query_id
         others = len(self.distinct) - int(query_id in self.distinct)
         enough = min(max(enough, int(ENOUGH_SHARE * len(self.distinct))), others)
         own = query / np.sqrt((query * query).sum()) @ self.directions + self.lift
-        low = np.searchsorted(self.sorted, own)
-        high = low.copy()
-        counts = np.zeros(size, np.int64)
-        width = FIRST_WIDTH
-        while True:
-            new_low = np.searchsorted(self.sorted, own - width)
-            new_high = np.searchsorted(self.sorted, own + width, "right")
-            added = np.concatenate([ragged(new_low, low - new_low), ragged(high, new_high - high)])
-            counts += np.bincount(self.order[added], minlength=size)
-            low, high = new_low, new_high
-            found = np.flatnonzero((counts >= share * arrays) & other)
-            if (high - low).min() == size or len(found) >= enough and len(np.unique(self.ids[found])) >= enough:
-                return found
-            width *= GROWTH
+        least = int(np.ceil(share * len(own)))
+
+        def at(step: int) -> tuple[np.ndarray, bool]:
+            while step >= len(self._widths):
+                self._widths.append(self._widths[-1] * GROWTH)
+            counts, covered = self.collisions(own, self._widths[step])
+            found = np.flatnonzero((counts >= least) & other)
+            return found, covered or len(found) >= enough and (
+                self.single or len(np.unique(self.ids[found])) >= enough)
+
+        # Wider windows hold all that narrower ones do, so the first wide enough is found from any step; the last query's
+        # is mostly near.
+        found, done = at(self._step)
+        if done:
+            while self._step and (narrower := at(self._step - 1))[1]:
+                found, self._step = narrower[0], self._step - 1
+        while not done:
+            self._step += 1
+            found, done = at(self._step)
+        return found
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
         """The best k of this block by score, then id, without the query's own id; one entry per id."""
         at = self.candidates(query_id, query)
         scores = cosines(self.vectors[at], self.norms[at], query, np.sqrt((query * query).sum()))
+        if self.single and len(at) > k:
+            near = scores >= np.partition(scores, -k)[-k]
+            at, scores = at[near], scores[near]
         best: dict[int, float] = {}
         for i in np.lexsort([self.ids[at], -scores]):
             best.setdefault(int(self.ids[at[i]]), float(scores[i]))
